@@ -21,3 +21,20 @@ def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_minhash_dedup"] = op8_minhash_dedup
+
+
+def token_output(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """Writes the ids of docs in the shared folder and reads one row per document back."""
+    from .scratch import Scratch
+    from .token_ids import crc32, read_ids, write_ids
+
+    path = Scratch(spark, "ids").path("shards")
+    write_ids(docs, path)
+    return read_ids(spark, path, crc32).withColumnRenamed("value", "ids_crc32")
+
+
+def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output(spark, table(spark, sf_dir, "documents"))
+
+
+QUERIES["op4_token_ids"] = op4_token_ids
