@@ -38,3 +38,12 @@ def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_token_ids"] = op4_token_ids
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import digest, scan
+
+    return digest(scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+QUERIES["op2_secret_scan"] = op2_secret_scan
