@@ -9,9 +9,10 @@ that very many documents share, come last and are rarely retained.
 
 Steps: sets and bucket counts; equal sets collapse to one class; inverted lists
 of the classes' retained values; the least member of a list is compared to all
-others of it; members that are not connected to it then are compared to all
-members outside their component. Pairs pass a size filter, an estimate from the
-union of both sketches, and the exact Jaccard similarity of the full sets.
+others of it; then so are some of the members that are not connected to it, as
+long as that helps, and the rest are compared to all members outside their
+component. Pairs pass a bound from sizes and the value's positions, an estimate
+from the union of both sketches, and the exact Jaccard similarity of full sets.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import arrays, graph, words as W
 from .scratch import Scratch
@@ -30,6 +31,8 @@ BLOCK = 1 << 14
 SKETCH = 32
 #: Pairs whose estimate is below are dropped; at SKETCH values a pair of similarity 0.8 falls there with a chance under 1e-8.
 ESTIMATE_LEAST = 0.3
+#: Members of a list compared to all others of it in a round; rounds go on while they leave at most this share of members outside.
+LEADERS, ENOUGH = 8, 0.8
 BLOOM_BITS = 1 << 25
 
 
@@ -178,10 +181,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     second = documents.mapInArrow(_second_pass(words, percent, classes), "id long, n long, keep array<long>, sketch array<int>").where("n > 0")
     second = scratch.save(second.join(reps, "id", "left_semi").dropDuplicates(["id"]), "retained")
 
-    postings = second.select(F.explode("keep").alias("value"), "id", "n")
-    lists = postings.groupBy("value").agg(F.min(F.struct("id", "n")).alias("lead"), F.count("*").alias("m")).where("m > 1")
-    fits = "100 * least(na, nb) >= {0} * greatest(na, nb)".format(percent)
-    listed = postings.join(lists, "value").select("value", F.col("lead.id").alias("lead"), F.col("lead.n").alias("na"), F.col("id"), F.col("n").alias("nb"), "m")
+    postings = second.select(F.posexplode("keep").alias("pos", "value"), "id", F.col("n").cast("int").alias("n"))
+    lists = postings.groupBy("value").agg(F.min(F.struct("id", "n", "pos")).alias("lead"), F.count("*").alias("m")).where("m > 1")
+    # If this is a pair's first common value, all before it are not common: least(na - pa, nb - pb) bounds the intersection.
+    fits = f"100 * least(na - pa, nb - pb) >= {percent} * (na + nb - least(na - pa, nb - pb))"
+    listed = postings.join(lists, "value").select("value", F.col("lead.id").alias("lead"), F.col("lead.n").alias("na"), F.col("lead.pos").alias("pa"), F.col("id"), F.col("n").alias("nb"), F.col("pos").alias("pb"), "m")
     listed = scratch.save(listed, "lists")
     sketches = second.select("id", "sketch")
 
@@ -189,17 +193,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = _verified(stars, sketches, documents, words, percent, scratch, "stars")
     parts = scratch.save(graph.components(links, scratch), "parts")
 
-    # What the least member of a list is not connected to, against the list's other components.
-    member = listed.where("m > 2").join(parts.select(F.col("node").alias("id"), "component"), "id", "left").select("value", "id", F.col("nb").alias("n"), "lead", F.coalesce("component", "id").alias("component"))
-    member = scratch.save(member, "members")
-    outside = member.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("value", "low")
-    open_lists = scratch.save(member.join(outside, "value"), "open")
-    x = open_lists.where("component <> low").select("value", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    y = open_lists.where("id <> lead").select("value", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"), "low")
-    x = x.join(open_lists.select("value", F.col("lead").alias("l")).distinct(), "value").where("a <> l").drop("l")
-    rest = x.join(y, "value").where("ca <> cb and (cb = low or a < b)").where(fits).select("a", "b").distinct()
-    more = _verified(rest, sketches, documents, words, percent, scratch, "rest")
-    parts = scratch.save(graph.components(links.unionAll(more), scratch), "all-parts")
+    # Lists that hold several components: some more members, the smallest ids, are compared to all others of their
+    # list, as long as that connects many; then what is left is compared to all that it isn't connected to.
+    used, n_outside = stars.select(F.lit(0).cast("long").alias("value"), F.col("a").alias("id")).limit(0), None
+    while True:
+        open_lists = scratch.save(_open(listed, parts), "open")
+        before, n_outside = n_outside, open_lists.where("component <> low").count()
+        x = open_lists.where("component <> low and id <> lead").join(used, ["value", "id"], "left_anti").select("value", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("component").alias("ca"))
+        last = not n_outside or before is not None and n_outside > ENOUGH * before
+        if not last:
+            rank = Window.partitionBy("value").orderBy("a")
+            x = scratch.save(x.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= LEADERS).drop("r"), "leaders")
+        y = open_lists.where("id <> lead").join(used, ["value", "id"], "left_anti").select("value", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("component").alias("cb"), "low")
+        once = "(cb = low or a < b)" if last else "a <> b"
+        pairs = x.join(y, "value").where("ca <> cb").where(once).where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        links = links.unionAll(_verified(pairs, sketches, documents, words, percent, scratch, "more")) if n_outside else links
+        parts = scratch.save(graph.components(links, scratch), "parts") if n_outside else parts
+        if last:
+            break
+        used = used.unionAll(x.select("value", F.col("a").alias("id")))
 
     classed = keyed.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select("n", "one", "two", F.coalesce("component", "rep").alias("component"))
     found = sets.join(classed, ["n", "one", "two"], "left").select(
@@ -208,6 +220,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.withColumn("kept", F.col(id_col) == F.col("component_id"))
 
 
+def _open(listed: DataFrame, parts: DataFrame) -> DataFrame:
+    """Members of the lists that hold several components; low is the component of the least."""
+    named = parts.select(F.col("node").alias("id"), "component")
+    member = listed.where("m > 2").join(named, "id", "left").select("value", "id", F.col("nb").alias("n"), F.col("pb").alias("pos"), "lead", F.coalesce("component", "id").alias("component"))
+    several = member.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("value", "low")
+    return member.join(several, "value")
+
+
 def keep_first(docs: DataFrame, **how) -> DataFrame:
     """docs without all but the smallest id of each group of near duplicates; all columns stay."""
     id_col = how.get("id_col", "doc_id")
