@@ -82,12 +82,19 @@ class WordIds:
         if ids is None:
             ids = self.old.get(word)
             if ids is None:
-                ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
+                ids = self._encoded(word)
             if len(self.new) >= REMEMBERED:
                 self.old, self.new = self.new, {}
             self.new[word] = ids
         return ids
 
+    def _encoded(self, word: str) -> bytes:
+        if len(word) > 1 and word[-1] in ",." and word[-2].isalpha():  # letters and signs are never in one piece
+            return self._look(word[:-1]) + self._look(word[-1])
+        if word.isascii() and word.isalpha() and (low := word.lower()) != word:
+            return self._look(low)
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
+
     def ids(self, text: str) -> bytes:
         new, look = self.new.get, self._look
         return b"".join([new(w) or look(w) for w in text.replace("\n", " ").split(" ") if w])
