@@ -17,6 +17,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .scratch import Scratch
+
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 OVERHEAD = 4
 #: Turns of a conversation whose prefix sums one task adds up; their totals are added up in a second step.
@@ -63,7 +65,7 @@ def windows(turns: DataFrame, budget: int = 1024, history: int = 128, system: in
         rows = _prefix(rows, value, name)
     # Where a span begins: another stretch of half the budget, or before and after a long turn.
     rows = rows.withColumn("span", F.struct((2 * F.col("bigs") + F.col("big")).alias("run"), F.floor(F.col("sum") / half).alias("cut")))
-    return _assembled(rows, budget, history)
+    return _assembled(Scratch(turns.sparkSession, "chat").save(rows.drop("big", "small", "one", "bigs", "sum", "base_big", "base_small", "base_one", "base_tokens", "part", "ord"), "turns"), budget, history)
 
 
 def _assembled(rows: DataFrame, budget: int, history: int) -> DataFrame:
