@@ -19,7 +19,9 @@ row group's columns and unpacking with numpy, no loop over ids.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -65,8 +67,13 @@ def vocabulary_file(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+_SIGNED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
+#: Byte-level vocabularies write bytes without a printable character of their own as characters from U+0100 on.
+_BYTE_LEVEL = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or 174 <= b))}
+
+
 class WordIds:
-    """Ids of a tokenizer that never joins text across a space or line feed, remembered by the stretches between them."""
+    """Ids of a lower-casing byte-level tokenizer that never joins text across a space or line feed, remembered by the stretches between them."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -74,26 +81,36 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = "<u2" if self.vocabulary <= 1 << 16 else "<u4"
+        self.code = "H" if self.kind == "<u2" else "I"
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
     def _look(self, word: str) -> bytes:
         ids = self.new.get(word)
+        if ids is not None:
+            return ids
+        ids = self.old.get(word)
         if ids is None:
-            ids = self.old.get(word)
-            if ids is None:
+            if not word.isalpha() and (parts := _SIGNED.fullmatch(word)) and parts[1].isalpha():  # letters and signs are never in one piece; an apostrophe may be
+                ids = self._look(parts[1]) + self._look(parts[2])
+                if len(parts[2]) > 1:
+                    return ids
+            else:
                 ids = self._encoded(word)
-            if len(self.new) >= REMEMBERED:
-                self.old, self.new = self.new, {}
-            self.new[word] = ids
+        if len(self.new) >= REMEMBERED:
+            self.old, self.new = self.new, {}
+        self.new[word] = ids
         return ids
 
     def _encoded(self, word: str) -> bytes:
-        if len(word) > 1 and word[-1] in ",." and word[-2].isalpha():  # letters and signs are never in one piece
-            return self._look(word[:-1]) + self._look(word[-1])
-        if word.isascii() and word.isalpha() and (low := word.lower()) != word:
-            return self._look(low)
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
+        if word.isalpha() and (word.isascii() or max(word) < "\u0130"):  # Latin letters that normalising leaves as they are, but for case
+            low = word.lower()
+            if low != word:
+                return self._look(low)
+            if not word.isascii():
+                low = low.encode().decode("latin-1").translate(_BYTE_LEVEL)
+            return array(self.code, [t.id for t in self.tokenizer.model.tokenize(low)]).tobytes()
+        return array(self.code, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def ids(self, text: str) -> bytes:
         new, look = self.new.get, self._look
