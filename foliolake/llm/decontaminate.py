@@ -24,10 +24,13 @@ from pyspark.sql import DataFrame, functions as F
 from . import arrays, words as W
 
 BLOCK = 32
-ROWS, RANK = 256, 64
+#: Rows of the sketch; the latent space has as many dimensions.
+ROWS = 256
+#: A term of more than this share of passages has no weight, unless an item would keep fewer than KEEP terms.
+COMMON, KEEP = 0.02, 5
 #: Items that are looked for in one pass; a larger benchmark takes several, so what is broadcast is bounded.
 ITEMS = 5_000
-COSINE_LEAST = 0.4
+COSINE_LEAST = 0.33
 WEIGHT_LEAST = 0.45
 #: Common subsequence, as a share of the item's words: enough alone; enough with the answer's words.
 SAME, PARAPHRASE, ANSWER = 0.7, 0.5, 0.8
@@ -113,11 +116,24 @@ def _sketch(shared):
     return run
 
 
-def latent(sums: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, latent vectors) of n terms from the added-up sketch and counts."""
-    weight = np.log((1 + sums[-1]) / (1 + sums[ROWS * n : -1]))
-    _, _, right = np.linalg.svd(sums[: ROWS * n].reshape(ROWS, n) * weight, full_matrices=False)
-    return weight, (right[:RANK].T * weight[:, None]).astype(np.float32)
+def latent(sums: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, latent vectors) of the terms from the added-up sketch and counts.
+
+    Dimensions are scaled by their singular values, or the few that common terms
+    share would hide the many that tell items apart.
+    """
+    n = len(items.vocabulary)
+    seen, passages = sums[ROWS * n : -1], sums[-1]
+    weight = np.log((1 + passages) / (1 + seen))
+    light = seen > COMMON * passages
+    for w in items.words:
+        term = items.terms(w)[1]
+        if (~light[np.unique(term)]).sum() < KEEP:
+            light[term] = False
+    weight[light] = 0
+    _, sizes, right = np.linalg.svd(sums[: ROWS * n].reshape(ROWS, n) * weight, full_matrices=False)
+    real = sizes > 1e-6 * max(sizes[0], 1e-30)
+    return weight, (right[real].T * weight[:, None] / sizes[real]).astype(np.float32)
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
@@ -161,6 +177,8 @@ def _search(shared):
                 if not len(w.hash):
                     continue
                 first, block, term, count = _blocks(w, items)
+                heavy = weight[term] > 0
+                block, term, count = block[heavy], term[heavy], count[heavy]
                 if not len(block):
                     continue
                 z = np.zeros((first[-1] + 1, vectors.shape[1]), np.float32)
@@ -233,7 +251,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
             return None
         first = spark.sparkContext.broadcast(items)
         sums = arrays.total(rows.mapInArrow(_sketch(first), arrays.BLOCK_SCHEMA), ROWS * n + n + 1, 1 << 15, "float64")
-        weight, vectors = latent(sums, n)
+        weight, vectors = latent(sums, items)
         queries, keys, shares = np.zeros((len(held), vectors.shape[1]), np.float32), [], []
         for i, w in enumerate(items.words):
             term, count = np.unique(items.terms(w)[1], return_counts=True)
