@@ -31,8 +31,8 @@ BLOCK = 1 << 14
 SKETCH = 32
 #: Pairs whose estimate is below are dropped; at SKETCH values a pair of similarity 0.8 falls there with a chance under 1e-8.
 ESTIMATE_LEAST = 0.3
-#: Members of a list compared to all others of it in a round; rounds go on while they leave at most this share of members outside.
-LEADERS, ENOUGH = 8, 0.8
+#: Members of a list compared to all others of it in a round; rounds go on while they add more than this share of the first links.
+LEADERS, ENOUGH = 8, 0.01
 BLOOM_BITS = 1 << 25
 
 
@@ -181,37 +181,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     second = documents.mapInArrow(_second_pass(words, percent, classes), "id long, n long, keep array<long>, sketch array<int>").where("n > 0")
     second = scratch.save(second.join(reps, "id", "left_semi").dropDuplicates(["id"]), "retained")
 
-    postings = second.select(F.posexplode("keep").alias("pos", "value"), "id", F.col("n").cast("int").alias("n"))
-    lists = postings.groupBy("value").agg(F.min(F.struct("id", "n", "pos")).alias("lead"), F.count("*").alias("m")).where("m > 1")
     # If this is a pair's first common value, all before it are not common: least(na - pa, nb - pb) bounds the intersection.
     fits = f"100 * least(na - pa, nb - pb) >= {percent} * (na + nb - least(na - pa, nb - pb))"
-    listed = postings.join(lists, "value").select("value", F.col("lead.id").alias("lead"), F.col("lead.n").alias("na"), F.col("lead.pos").alias("pa"), F.col("id"), F.col("n").alias("nb"), F.col("pos").alias("pb"), "m")
+    # So of a pair that fits the smaller member is early; lists need one of those, and it leads.
+    early = F.expr(f"{100 + percent} * (n - pos) >= {2 * percent} * n").alias("early")
+    postings = second.select(F.posexplode("keep").alias("pos", "value"), "id", F.col("n").cast("int").alias("n")).select("value", "id", "n", "pos", early)
+    lists = postings.groupBy("value").agg(F.min(F.struct((~F.col("early")).alias("late"), "id", "n", "pos")).alias("lead"), F.count("*").alias("m"), F.count_if("early").alias("heads")).where("m > 1 and heads > 0")
+    listed = postings.join(lists, "value").select("value", F.col("lead.id").alias("lead"), F.col("lead.n").alias("na"), F.col("lead.pos").alias("pa"), F.col("id"), F.col("n").alias("nb"), F.col("pos").alias("pb"), "early", (F.least("m", F.lit(3)) + F.least("heads", F.lit(2)) == 5).alias("more"))
     listed = scratch.save(listed, "lists")
     sketches = second.select("id", "sketch")
 
-    stars = listed.where("lead <> id").where(fits).select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    stars = listed.where("lead <> id").where(fits).select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct()
     links = _verified(stars, sketches, documents, words, percent, scratch, "stars")
     parts = scratch.save(graph.components(links, scratch), "parts")
 
-    # Lists that hold several components: some more members, the smallest ids, are compared to all others of their
-    # list, as long as that connects many; then what is left is compared to all that it isn't connected to.
-    used, n_outside = stars.select(F.lit(0).cast("long").alias("value"), F.col("a").alias("id")).limit(0), None
+    # Lists that hold several components: some more early members, the smallest ids, are compared to all others of their
+    # list, as long as that connects many; then those left are compared to all that they aren't connected to.
+    members = scratch.save(listed.where("more").select("value", "id", F.col("nb").alias("n"), F.col("pb").alias("pos"), "lead", "early"), "members")
+    scratch.drop(listed)
+    last, used, n_links = False, [], links.count()
     while True:
-        open_lists = scratch.save(_open(listed, parts), "open")
-        before, n_outside = n_outside, open_lists.where("component <> low").count()
-        x = open_lists.where("component <> low and id <> lead").join(used, ["value", "id"], "left_anti").select("value", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("component").alias("ca"))
-        last = not n_outside or before is not None and n_outside > ENOUGH * before
+        open_lists = scratch.save(_open(members, parts), "open")
+        x = open_lists.where("early and id <> lead").select("value", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("component").alias("ca"), "low")
+        for done in used:
+            x = x.join(done, ["value", "a"], "left_anti")
         if not last:
             rank = Window.partitionBy("value").orderBy("a")
-            x = scratch.save(x.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= LEADERS).drop("r"), "leaders")
-        y = open_lists.where("id <> lead").join(used, ["value", "id"], "left_anti").select("value", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("component").alias("cb"), "low")
-        once = "(cb = low or a < b)" if last else "a <> b"
-        pairs = x.join(y, "value").where("ca <> cb").where(once).where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = links.unionAll(_verified(pairs, sketches, documents, words, percent, scratch, "more")) if n_outside else links
-        parts = scratch.save(graph.components(links, scratch), "parts") if n_outside else parts
+            x = scratch.save(x.where("ca <> low").withColumn("r", F.row_number().over(rank)).where(F.col("r") <= LEADERS).drop("r"), "leaders")
+            used.append(x.select("value", "a"))
+        y = open_lists.where("id <> lead").select("value", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("component").alias("cb"))
+        pairs = x.join(y, "value").where("ca <> cb").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        more = _verified(pairs, sketches, documents, words, percent, scratch, "more")
+        links = links.unionAll(more)
+        parts = scratch.save(graph.components(links, scratch), "parts")
+        scratch.drop(open_lists)
         if last:
             break
-        used = used.unionAll(x.select("value", F.col("a").alias("id")))
+        last = more.count() <= ENOUGH * n_links
 
     classed = keyed.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select("n", "one", "two", F.coalesce("component", "rep").alias("component"))
     found = sets.join(classed, ["n", "one", "two"], "left").select(
@@ -220,10 +226,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.withColumn("kept", F.col(id_col) == F.col("component_id"))
 
 
-def _open(listed: DataFrame, parts: DataFrame) -> DataFrame:
-    """Members of the lists that hold several components; low is the component of the least."""
+def _open(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """Members of the lists that hold several components; low is the smallest of them."""
     named = parts.select(F.col("node").alias("id"), "component")
-    member = listed.where("m > 2").join(named, "id", "left").select("value", "id", F.col("nb").alias("n"), F.col("pb").alias("pos"), "lead", F.coalesce("component", "id").alias("component"))
+    member = members.join(named, "id", "left").withColumn("component", F.coalesce("component", "id"))
     several = member.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("value", "low")
     return member.join(several, "value")
 
