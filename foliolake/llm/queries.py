@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import licenses
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -87,3 +89,20 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_embedding_dedup"] = op1_embedding_dedup
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_counts import count_tokens
+
+    return count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    return scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "license", F.array_join("notices", ",").alias("notices"))
+
+
+QUERIES["op5_token_counts"] = op5_token_counts
+QUERIES["op6_license_scan"] = op6_license_scan
+ORACLES["op6_license_scan"] = licenses.oracle_sql()
