@@ -106,3 +106,15 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op5_token_counts"] = op5_token_counts
 QUERIES["op6_license_scan"] = op6_license_scan
 ORACLES["op6_license_scan"] = licenses.oracle_sql()
+
+#: Weights of the domains that op7_mixing aims at.
+WEIGHTS = {"high": 0.8, "low": 0.15, "toxic": 0.05}
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import rates
+
+    return rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), WEIGHTS)
+
+
+QUERIES["op7_mixing"] = op7_mixing
