@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from . import arrays, words as W
+from .scratch import Scratch
 
 BLOCK = 32
 #: Rows of the sketch; the latent space has as many dimensions.
@@ -275,4 +276,5 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """docs without those that hold an item; all columns and repeated rows stay, null ids too."""
     gone = find_leaks(docs, benchmark, id_col=id_col, **how).select(F.col("doc_id").alias("__gone")).distinct()
+    gone = Scratch(docs.sparkSession, "leaks").save(gone, "gone")
     return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")

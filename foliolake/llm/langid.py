@@ -163,3 +163,23 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
     return rows.mapInArrow(_predict(model.languages, logs), f"id {kind}, lang_pred string, score double, mixture map<string,double>").withColumnRenamed("id", id_col)
+
+
+def accepted(docs: DataFrame, model: Model, least_score: float = 0.0, text_col: str = "text") -> DataFrame:
+    """docs without the rows that are und or score below least_score; all columns stay, nothing is shuffled."""
+    logs = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(model.logs.T))
+    of = _predict(model.languages, logs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            own = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), batch.column(text_col).cast(pa.string())], names=["id", "text"])
+            keep = np.zeros(n, bool)
+            for found in of(iter([own])):
+                ok = np.array(found.column("lang_pred").to_pylist(), object) != "und"
+                keep[found.column("id").to_numpy()] = ok & (found.column("score").to_numpy() >= least_score)
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -238,4 +238,5 @@ def keep_first(docs: DataFrame, **how) -> DataFrame:
     """docs without all but the smallest id of each group of near duplicates; all columns stay."""
     id_col = how.get("id_col", "doc_id")
     gone = near_duplicates(docs, **how).where("not kept").select(F.col(id_col).alias("__gone"))
+    gone = Scratch(docs.sparkSession, "minhash").save(gone, "gone")
     return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti").dropDuplicates([id_col])

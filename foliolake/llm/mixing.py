@@ -172,5 +172,6 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | Callab
 def mixed(docs: DataFrame, labels: DataFrame, targets, id_col: str = "doc_id", **how) -> DataFrame:
     """docs with each row as often as its copies say; all columns stay. Rows with a null id stay once."""
     found = rates(docs, labels, targets, id_col=id_col, **how).where(F.col(id_col).isNotNull() & (F.col("copies") != 1)).groupBy(F.col(id_col).alias("__id")).agg(F.min("copies").alias("__copies"))
+    found = Scratch(docs.sparkSession, "mixing").save(found, "copies")
     out = docs.join(found, F.col(id_col) == F.col("__id"), "left").withColumn("__copies", F.coalesce("__copies", F.lit(1))).where("__copies > 0")
     return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__id", "__copies", "__copy")
