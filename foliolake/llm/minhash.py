@@ -9,9 +9,9 @@ that very many documents share, come last and are rarely retained.
 
 Steps: sets and bucket counts; equal sets collapse to one class; inverted lists
 of the classes' retained values; the least member of a list is compared to all
-others of it; then so are some of the members that are not connected to it, as
-long as that helps, and the rest are compared to all members outside their
-component. Pairs pass a bound from sizes and the value's positions, an estimate
+others of it, and so are two more in longer lists; in lists that hold several
+components even then, members outside the first are compared to all members
+they are not connected to. Pairs pass a bound from sizes and the value's positions, an estimate
 from the union of both sketches, and the exact Jaccard similarity of full sets.
 """
 
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from . import arrays, graph, words as W
 from .scratch import Scratch
@@ -31,8 +31,8 @@ BLOCK = 1 << 14
 SKETCH = 32
 #: Pairs whose estimate is below are dropped; at SKETCH values a pair of similarity 0.8 falls there with a chance under 1e-8.
 ESTIMATE_LEAST = 0.3
-#: Members of a list compared to all others of it in a round; rounds go on while they add more than this share of the first links.
-LEADERS, ENOUGH = 8, 0.01
+#: Pairs whose 64 bits agree in fewer are dropped; that is six deviations below what similarity 0.8 gives.
+BITS_LEAST = 43
 BLOOM_BITS = 1 << 25
 
 
@@ -72,7 +72,7 @@ def _second_pass(k: int, percent: int, classes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = classes.value
         for batch in batches:
-            ids, n, keep, sketch = [], [], [], []
+            ids, n, keep, sketch, bits = [], [], [], [], []
             for part, offsets, data in W.chunks(batch):
                 ids.append(part.column("id"))
                 for s in W.shingles(W.words(offsets, data), k):
@@ -81,12 +81,20 @@ def _second_pass(k: int, percent: int, classes):
                     order = np.argsort(rank[(s >> np.uint64(44)).astype(np.int64)], kind="stable")[:m]  # s ascends, so the hash decides within a class
                     keep.append(s[order].view(np.int64))
                     sketch.append((s[:SKETCH] >> np.uint64(33)).astype(np.int32))
+                    bits.append(_bits(s))
             if n:
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.array(n, pa.int64()), _lists(keep, pa.int64()), _lists(sketch, pa.int32())], names=["id", "n", "keep", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.array(n, pa.int64()), _lists(keep, pa.int64()), _lists(sketch, pa.int32()), pa.array(np.array(bits, np.uint64).view(np.int64))], names=["id", "n", "keep", "sketch", "bits"])
 
     return run
 
 
+def _bits(s: np.ndarray) -> np.uint64:
+    """One bit from the least hash of each 64th of the hash range; sets of similarity 0.8 agree in 58 of 64 at least, give or take 2.4."""
+    bins = (s >> np.uint64(58)).astype(np.int64)
+    first = np.flatnonzero(np.diff(bins, prepend=-1))
+    return np.bitwise_or.reduce(((W.mix(s[first]) & np.uint64(1)) << bins[first].astype(np.uint64)), initial=np.uint64(0))
+
+
 def _third_pass(k: int, bloom):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(bloom.value)
@@ -178,7 +186,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = first.where("block is null")
     keyed = sets.where("n > 0").groupBy("n", "one", "two").agg(F.min("id").alias("rep"))
     reps = keyed.select(F.col("rep").alias("id"))
-    second = documents.mapInArrow(_second_pass(words, percent, classes), "id long, n long, keep array<long>, sketch array<int>").where("n > 0")
+    second = documents.mapInArrow(_second_pass(words, percent, classes), "id long, n long, keep array<long>, sketch array<int>, bits long").where("n > 0")
     second = scratch.save(second.join(reps, "id", "left_semi").dropDuplicates(["id"]), "retained")
 
     # If this is a pair's first common value, all before it are not common: least(na - pa, nb - pb) bounds the intersection.
@@ -191,33 +199,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     listed = scratch.save(listed, "lists")
     sketches = second.select("id", "sketch")
 
-    stars = listed.where("lead <> id").where(fits).select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b")).distinct()
-    links = _verified(stars, sketches, documents, words, percent, scratch, "stars")
-    parts = scratch.save(graph.components(links, scratch), "parts")
+    members = scratch.save(listed.where("more").select("value", "id", F.col("nb").alias("n"), F.col("pb").alias("pos"), "early"), "members")
 
-    # Lists that hold several components: some more early members, the smallest ids, are compared to all others of their
-    # list, as long as that connects many; then those left are compared to all that they aren't connected to.
-    members = scratch.save(listed.where("more").select("value", "id", F.col("nb").alias("n"), F.col("pb").alias("pos"), "lead", "early"), "members")
+    # Each list's leader, and in longer lists two other early members, are compared to all others of the list.
+    pair = lambda df: df.where("lead <> id").where(fits).select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b"))
+    luck = lambda seed: F.min(F.struct((~F.col("early")).alias("late"), F.xxhash64("id", F.lit(seed)).alias("h"), "id", "n", "pos"))
+    second_lead = members.groupBy("value").agg(F.array(luck(1), luck(2)).alias("leads")).select("value", F.explode("leads").alias("l"))
+    second_lead = second_lead.select("value", F.col("l.id").alias("lead"), F.col("l.n").alias("na"), F.col("l.pos").alias("pa"))
+    others = members.select("value", "id", F.col("n").alias("nb"), F.col("pos").alias("pb")).join(second_lead, "value")
+    links = _verified(pair(listed).unionAll(pair(others)).distinct(), sketches, documents, words, percent, scratch, "stars")
     scratch.drop(listed)
-    last, used, n_links = False, [], links.count()
-    while True:
-        open_lists = scratch.save(_open(members, parts), "open")
-        x = open_lists.where("early and id <> lead").select("value", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("component").alias("ca"), "low")
-        for done in used:
-            x = x.join(done, ["value", "a"], "left_anti")
-        if not last:
-            rank = Window.partitionBy("value").orderBy("a")
-            x = scratch.save(x.where("ca <> low").withColumn("r", F.row_number().over(rank)).where(F.col("r") <= LEADERS).drop("r"), "leaders")
-            used.append(x.select("value", "a"))
-        y = open_lists.where("id <> lead").select("value", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("component").alias("cb"))
-        pairs = x.join(y, "value").where("ca <> cb").where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = _verified(pairs, sketches, documents, words, percent, scratch, "more")
-        links = links.unionAll(more)
-        parts = scratch.save(graph.components(links, scratch), "parts")
-        scratch.drop(open_lists)
-        if last:
-            break
-        last = more.count() <= ENOUGH * n_links
+    parts = scratch.save(graph.components(links, scratch), "parts")
+
+    # Lists that hold several components even so: what is outside the smallest against what it isn't connected to.
+    named = second.select("id", "bits").join(parts.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "bits", F.coalesce("component", "id").alias("component"))
+    known = scratch.save(members.join(named, "id"), "named")
+    several = known.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("value", "low")
+    x = known.join(several, "value").where("component <> low").select("value", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("early").alias("ea"), F.col("component").alias("ca"), F.col("bits").alias("ba"), "low")
+    y = known.select("value", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("early").alias("eb"), F.col("component").alias("cb"), F.col("bits").alias("bb"))
+    apart = f"ca <> cb and (cb = low or a < b) and (ea or eb) and {fits} and bit_count(ba ^ bb) <= {64 - BITS_LEAST}"
+    rest = x.join(y, "value").where(apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = _verified(rest, sketches, documents, words, percent, scratch, "rest")
+    scratch.drop(members, known)
+    parts = scratch.save(graph.components(links.unionAll(more), scratch), "all-parts")
 
     classed = keyed.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select("n", "one", "two", F.coalesce("component", "rep").alias("component"))
     found = sets.join(classed, ["n", "one", "two"], "left").select(
@@ -226,14 +230,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.withColumn("kept", F.col(id_col) == F.col("component_id"))
 
 
-def _open(members: DataFrame, parts: DataFrame) -> DataFrame:
-    """Members of the lists that hold several components; low is the smallest of them."""
-    named = parts.select(F.col("node").alias("id"), "component")
-    member = members.join(named, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    several = member.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("value", "low")
-    return member.join(several, "value")
-
-
 def keep_first(docs: DataFrame, **how) -> DataFrame:
     """docs without all but the smallest id of each group of near duplicates; all columns stay."""
     id_col = how.get("id_col", "doc_id")
