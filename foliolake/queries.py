@@ -1,14 +1,14 @@
-"""Named queries over the given tables, one for each operator, with their DuckDB SQL."""
+"""All named queries over the given tables, with their DuckDB SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from .plans import html_queries, pdf_queries, stream_queries, text_queries
+from .plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "flagship", "html_queries", "pdf_queries", "stream_queries"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    return text_queries.flagship_phrase_by_page(spark, sf_dir)
