@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -33,33 +34,42 @@ class Format:
         return self.name.startswith("PDF/X-1a")
 
 
-def _found(df: DataFrame, test: Column, rule: str, message: Column | str, severity: str = "ERROR") -> DataFrame:
-    said = message if isinstance(message, Column) else F.lit(message)
-    return df.where(test).select("doc_id", F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), said.alias("message"))
+class Found(NamedTuple):
+    """Rows of a relation that break a rule."""
+
+    rows: DataFrame
+    test: Column
+    rule: str
+    severity: str
+    message: Column
+
+
+def _found(df: DataFrame, test: Column, rule: str, message: Column | str, severity: str = "ERROR") -> Found:
+    return Found(df, test, rule, severity, message if isinstance(message, Column) else F.lit(message))
 
 
 def _has(column: str, key: str) -> Column:
     return F.array_contains(column, key)
 
 
-def file_structure(r: Relations, f: Format) -> list[DataFrame]:
-    t, o, c = r("trailers"), r("objects").where("is_stream"), r("catalogs")
+def file_structure(r: Relations, f: Format) -> list[Found]:
+    t, o, c, stream = r("trailers"), r("objects"), r("catalogs"), F.col("is_stream")
     out = [
         _found(t, F.size("keys") == 0, "6.1.3", "No trailer dictionary found"),
         _found(t, ~F.col("has_id"), "6.1.3", "Trailer must contain /ID array"),
         _found(t, F.col("encrypted"), "6.1.3", "Trailer must not contain /Encrypt for PDF/A compliance"),
     ]
     for key in ("F", "FFilter", "FDecodeParms"):
-        out.append(_found(o, _has("keys", key), "6.1.7", f"Stream dictionary must not contain /{key} key"))
-    out.append(_found(o, F.col("value").contains('"LZWDecode"'), "6.1.10", "LZWDecode filter is not permitted in PDF/A"))
+        out.append(_found(o, stream & _has("keys", key), "6.1.7", f"Stream dictionary must not contain /{key} key"))
+    out.append(_found(o, stream & F.col("value").contains('"LZWDecode"'), "6.1.10", "LZWDecode filter is not permitted in PDF/A"))
     if f.part == 1:
         out.append(_found(c, F.col("embedded_files"), "6.1.11", "PDF/A-1 must not have /EmbeddedFiles in the names dictionary"))
-        out.append(_found(r("objects"), (F.col("type") == "Filespec") & _has("keys", "EF"), "6.1.11", "PDF/A-1 file specification must not contain /EF key"))
+        out.append(_found(o, (F.col("type") == "Filespec") & _has("keys", "EF"), "6.1.11", "PDF/A-1 file specification must not contain /EF key"))
         out.append(_found(c, _has("keys", "OCProperties"), "6.1.13", "PDF/A-1 must not contain /OCProperties (optional content) in the catalog"))
     return out
 
 
-def graphics(r: Relations, f: Format) -> list[DataFrame]:
+def graphics(r: Relations, f: Format) -> list[Found]:
     x, c = r("resources"), r("catalogs").select("doc_id", "output_intents")
     image, form, state = (F.col("category") == "XObject") & (F.col("subtype") == "Image"), (F.col("category") == "XObject") & (F.col("subtype") == "Form"), F.col("category") == "ExtGState"
     a = F.col("attrs")
@@ -80,7 +90,7 @@ def graphics(r: Relations, f: Format) -> list[DataFrame]:
     ]
 
 
-def fonts(r: Relations, f: Format) -> list[DataFrame]:
+def fonts(r: Relations, f: Format) -> list[Found]:
     x = r("fonts")
     name, kind = F.coalesce("base_font", F.lit("?")), F.col("subtype")
     simple, cid = ~kind.isin("Type0", "Type3", "CIDFontType0", "CIDFontType2"), kind.isin("CIDFontType0", "CIDFontType2")
@@ -103,7 +113,7 @@ def fonts(r: Relations, f: Format) -> list[DataFrame]:
     return out
 
 
-def transparency(r: Relations, f: Format) -> list[DataFrame]:
+def transparency(r: Relations, f: Format) -> list[Found]:
     if f.part != 1:
         return []
     x, a = r("resources"), F.col("attrs")
@@ -119,7 +129,7 @@ def transparency(r: Relations, f: Format) -> list[DataFrame]:
     return out
 
 
-def annotations(r: Relations, f: Format) -> list[DataFrame]:
+def annotations(r: Relations, f: Format) -> list[Found]:
     x, flags = r("annotations"), F.col("flags")
     part = "PDF/A-1" if f.part == 1 else "PDF/A-2+"
     bit = lambda i: flags.bitwiseAND(1 << i) != 0
@@ -130,7 +140,7 @@ def annotations(r: Relations, f: Format) -> list[DataFrame]:
     return out
 
 
-def actions(r: Relations, f: Format) -> list[DataFrame]:
+def actions(r: Relations, f: Format) -> list[Found]:
     x = r("actions")
     out = [
         _found(x, F.col("place") == "catalog/AA", "6.6.2", "Catalog must not contain /AA (additional actions)"),
@@ -143,7 +153,7 @@ def actions(r: Relations, f: Format) -> list[DataFrame]:
     return out
 
 
-def metadata(r: Relations, f: Format) -> list[DataFrame]:
+def metadata(r: Relations, f: Format) -> list[Found]:
     c, xml = r("catalogs"), F.col("metadata")
     value = lambda key: F.coalesce(F.nullif(F.regexp_extract(xml, rf"pdfaid:{key}\s*=\s*[\"']([^\"']*)[\"']", 1), F.lit("")), F.nullif(F.regexp_extract(xml, rf"<pdfaid:{key}>\s*([^<]*?)\s*</pdfaid:{key}>", 1), F.lit("")))
     c = c.withColumns({"part": value("part"), "conf": F.trim(value("conformance"))})
@@ -162,7 +172,7 @@ def metadata(r: Relations, f: Format) -> list[DataFrame]:
     ]
 
 
-def logical_structure(r: Relations, f: Format) -> list[DataFrame]:
+def logical_structure(r: Relations, f: Format) -> list[Found]:
     if f.level != "A":
         return []
     c = r("catalogs")
@@ -175,7 +185,7 @@ def logical_structure(r: Relations, f: Format) -> list[DataFrame]:
     ]
 
 
-def forms(r: Relations, f: Format) -> list[DataFrame]:
+def forms(r: Relations, f: Format) -> list[Found]:
     c = r("catalogs")
     out = [
         _found(c, F.col("need_appearances") == "true", "6.9.1", "AcroForm /NeedAppearances must be false or absent for PDF/A compliance"),
@@ -187,7 +197,7 @@ def forms(r: Relations, f: Format) -> list[DataFrame]:
     return out
 
 
-def pdf_x(r: Relations, f: Format) -> list[DataFrame]:
+def pdf_x(r: Relations, f: Format) -> list[Found]:
     t, c, p, x = r("trailers"), r("catalogs"), r("pages"), r("fonts")
     info = r("info").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("info"))
     i = t.select("doc_id", "keys", "encrypted").join(info, "doc_id", "left")
@@ -215,10 +225,11 @@ def pdf_x(r: Relations, f: Format) -> list[DataFrame]:
 RULES = [file_structure, graphics, fonts, transparency, annotations, actions, metadata, logical_structure, forms]
 
 
-def validate(files: DataFrame, target: str = "PDF/A-1b", more: list[Callable[[Relations, Format], list[DataFrame]]] = ()) -> DataFrame:
+def validate(files: DataFrame, target: str = "PDF/A-1b", more: list[Callable[[Relations, Format], list[Found]]] = ()) -> DataFrame:
     """Violations of every file (doc_id, content) against a target; `more` are rules of the caller's own.
 
-    Each relation a rule needs is scanned once for the union of its rules.
+    Rules over one relation run in one pass over it, each row giving the
+    violations it has; a file is parsed once for each relation.
     """
     f, have = Format(target), {}
 
@@ -227,8 +238,16 @@ def validate(files: DataFrame, target: str = "PDF/A-1b", more: list[Callable[[Re
             have[name] = scan(files, name)
         return have[name]
 
-    parts = [df for rule in ([pdf_x] if f.is_x else RULES) + list(more) for df in rule(relation, f)]
-    return reduce(DataFrame.unionByName, parts)
+    by_rows: dict[int, list[Found]] = {}
+    for rule in ([pdf_x] if f.is_x else RULES) + list(more):
+        for found in rule(relation, f):
+            by_rows.setdefault(id(found.rows), []).append(found)
+    return reduce(DataFrame.unionByName, [_violations(group) for group in by_rows.values()])
+
+
+def _violations(group: list[Found]) -> DataFrame:
+    each = [F.when(g.test, F.struct(F.lit(g.rule).alias("rule_id"), F.lit(g.severity).alias("severity"), g.message.alias("message"))) for g in group]
+    return group[0].rows.select("doc_id", F.explode(F.filter(F.array(*each), lambda v: v.isNotNull())).alias("v")).select("doc_id", "v.*")
 
 
 def compliant(files: DataFrame, violations: DataFrame) -> DataFrame:
