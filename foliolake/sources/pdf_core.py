@@ -229,6 +229,8 @@ class File:
                     self.places.setdefault(Ref(num, c), (b,))
                 elif a == 2:
                     self.places.setdefault(Ref(num, 0), (b, c))
+                else:
+                    self.places.setdefault(Ref(num, -1), ())
         return attrs
 
     def _rebuild(self) -> None:
