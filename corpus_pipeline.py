@@ -47,11 +47,8 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("language_id", language_id),
-    ("minhash_dedup", minhash_dedup),
-    ("decontamination", decontamination),
-    ("source_mixing", source_mixing),
-    ("token_ids", token_ids),
+    (name, lambda spark, docs, sf_dir, stage=stage: stage(importable(spark), docs, sf_dir))
+    for name, stage in [("language_id", language_id), ("minhash_dedup", minhash_dedup), ("decontamination", decontamination), ("source_mixing", source_mixing), ("token_ids", token_ids)]
 ]
 
 #: SQL can express neither the fitted models nor the tokenizer; tests compare stages with brute force.

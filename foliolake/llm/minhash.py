@@ -33,7 +33,7 @@ SKETCH = 32
 ESTIMATE_LEAST = 0.3
 #: Pairs whose 64 bits agree in fewer are dropped; that is six deviations below what similarity 0.8 gives.
 BITS_LEAST = 43
-BLOOM_BITS = 1 << 25
+BLOOM_BITS = 1 << 24
 
 
 def _first_pass(k: int):
@@ -97,10 +97,12 @@ def _bits(s: np.ndarray) -> np.uint64:
 
 def _third_pass(k: int, bloom):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(bloom.value)
+        packed = bloom.value
         for batch in batches:
             have = batch.column("id").to_numpy(zero_copy_only=False)
-            for part, offsets, data in W.chunks(batch.filter(pa.array(bits[bloom_at(have)].astype(bool)))):
+            at = bloom_at(have)
+            likely = packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & np.uint8(1)
+            for part, offsets, data in W.chunks(batch.filter(pa.array(likely.astype(bool)))):
                 sets = [s.view(np.int64) for s in W.shingles(W.words(offsets, data), k)]
                 yield pa.RecordBatch.from_arrays([part.column("id"), _lists(sets, pa.int64())], names=["id", "full"])
 
