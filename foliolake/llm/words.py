@@ -94,14 +94,15 @@ def shingles(w: Words, k: int) -> Iterator[np.ndarray]:
     """For each text its set of k-word shingles as sorted distinct hashes; of fewer words, the whole sequence; of none, empty."""
     n = len(w.hash)
     runs = np.zeros(n, np.uint64)
+    place = mix(np.arange(1, k + 1, dtype=np.uint64) * np.uint64(_BASE)) | np.uint64(1)  # no sums of places are alike
     for j in range(min(k, n)):
-        runs[: n - j] += w.hash[j:] * np.uint64((_BASE * (2 * j + 1)) % (1 << 64))
+        runs[: n - j] += w.hash[j:] * place[j]
     runs = mix(runs)
     for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist()):
         if b - a >= k:
             yield np.unique(runs[a : b - k + 1])
         elif b > a:
-            own = w.hash[a:b] * (np.arange(1, 2 * (b - a), 2).astype(np.uint64) * np.uint64(_BASE))
+            own = w.hash[a:b] * place[: b - a]
             yield mix(own.sum(dtype=np.uint64, keepdims=True) + np.uint64(b - a))
         else:
             yield np.zeros(0, np.uint64)
