@@ -15,6 +15,8 @@ from foliolake.session import importable
 
 #: What is left of the toxic domain's expected tokens; the other domains keep theirs.
 TOXIC_SHARE = 0.1
+#: Rates this close to one leave a document as it is.
+NEAR_ONE = 0.15
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +40,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     def targets(now: dict[str, float]) -> dict[str, float]:
         return {d: n * (TOXIC_SHARE if d == "toxic" else 1.0) for d, n in now.items()}
 
-    return mixing.mixed(docs, table(spark, sf_dir, "labels"), targets)
+    return mixing.mixed(docs, table(spark, sf_dir, "labels"), targets, near=NEAR_ONE)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,9 +23,11 @@ from .scratch import Scratch
 FEATURES = 1 << 16
 #: Labelled rows the classifier is fitted on; the driver holds their hashed words.
 SAMPLE = 8_000
-EPOCHS, RATE, DECAY = 60, 0.1, 1e-4
+EPOCHS, RATE, DECAY = 120, 0.5, 1e-3
+#: A word counts if some domain has it this many standard deviations more or less often than by chance.
+TELLING = 5.0
 STEPS, ENOUGH = 30, 1e-4
-#: A rate this close to a whole number is that number of copies.
+#: By default, a rate this close to a whole number is that number of copies.
 NEAR = 0.05
 
 
@@ -77,6 +79,11 @@ def fit(first: np.ndarray, features: np.ndarray, domains: list[str]) -> Classifi
     want = np.eye(len(names))[y]
     model = Classifier(names, np.zeros((FEATURES, len(names))), np.log(want.mean(axis=0) + 1e-9))
     doc = np.repeat(np.arange(len(y)), np.diff(first))
+    seen = np.stack([np.bincount(features, want[doc, k], minlength=FEATURES) for k in range(len(names))], axis=1)
+    chance = seen.sum(axis=1, keepdims=True) * want.mean(axis=0)
+    telling = (np.abs(seen - chance) >= TELLING * np.sqrt(chance + 1)).any(axis=1)
+    own = telling[features]
+    first, features, doc = np.concatenate([[0], np.cumsum(own)])[first], features[own], doc[own]
     square = np.full(FEATURES, 1e-8)
     for _ in range(EPOCHS):
         off = (model.posterior(first, features) - want) / len(y)
@@ -121,7 +128,7 @@ def _rate(steps: list[np.ndarray]) -> Column:
     return F.aggregate(each, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - dot(g)))
 
 
-def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | Callable[[dict[str, float]], dict[str, float]], id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | Callable[[dict[str, float]], dict[str, float]], id_col: str = "doc_id", text_col: str = "text", near: float = NEAR, **how) -> DataFrame:
     """One row per row of docs: id_col, tokens, rate, copies, membership (a map of posteriors).
 
     targets: weights of domains, whose tokens are to add up to what there is, or
@@ -129,7 +136,7 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | Callab
     a target gets 0. A text that is null or empty has no tokens and the mean
     posterior; its rate is as any other's. copies is the rate rounded up or down
     by a hash of id and text, with the rate as expectation, but for rates within
-    NEAR of a whole number. With no labelled document every rate is 1.
+    `near` of a whole number. With no labelled document every rate is 1.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
@@ -164,7 +171,7 @@ def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | Callab
         totals, moment = sums(steps)
     luck = F.pmod(F.xxhash64("id", "p", F.lit(41)), F.lit(1 << 30)) / float(1 << 30)
     rate, whole = F.col("rate"), F.round("rate")
-    copies = F.when(F.abs(rate - whole) <= NEAR, whole).otherwise(F.floor(rate) + F.when(luck < rate - F.floor(rate), 1).otherwise(0)).cast("int")
+    copies = F.when(F.abs(rate - whole) <= near, whole).otherwise(F.floor(rate) + F.when(luck < rate - F.floor(rate), 1).otherwise(0)).cast("int")
     out = table.withColumn("rate", _rate(steps)).withColumn("copies", copies)
     return out.select(F.col("id").alias(id_col), "tokens", "rate", "copies", F.map_from_arrays(F.array(*[F.lit(d) for d in model.domains]), "p").alias("membership"))
 
