@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from . import arrays, graph, words as W
 from .scratch import Scratch
@@ -215,9 +215,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # Lists that hold several components even so: what is outside the smallest against what it isn't connected to.
     named = second.select("id", "bits").join(parts.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "bits", F.coalesce("component", "id").alias("component"))
-    known = scratch.save(members.join(named, "id"), "named")
-    several = known.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("value", "low")
-    x = known.join(several, "value").where("component <> low").select("value", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("early").alias("ea"), F.col("component").alias("ca"), F.col("bits").alias("ba"), "low")
+    of_list = Window.partitionBy("value")  # sorted and spilled, no list is held whole
+    known = members.join(named, "id").withColumns({"low": F.min("component").over(of_list), "high": F.max("component").over(of_list)}).where("low <> high")
+    known = scratch.save(known, "open")
+    x = known.where("component <> low").select("value", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("early").alias("ea"), F.col("component").alias("ca"), F.col("bits").alias("ba"), "low")
     y = known.select("value", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("early").alias("eb"), F.col("component").alias("cb"), F.col("bits").alias("bb"))
     apart = f"ca <> cb and (cb = low or a < b) and (ea or eb) and {fits} and bit_count(ba ^ bb) <= {64 - BITS_LEAST}"
     rest = x.join(y, "value").where(apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
