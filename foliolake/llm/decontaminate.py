@@ -7,8 +7,10 @@ random sign, to one of ROWS rows). Weighting the sketch's columns by the inverse
 passage frequency and a small singular value decomposition give the terms'
 latent vectors: a randomised SVD of the TF-IDF matrix in one pass. A second pass
 projects windows of two adjacent passages, retrieves by cosine, and checks what
-is found: the share of the item's term weight in the window, the longest common
-subsequence of words, and for paraphrases the answer's words.
+is found: the share of the query's term weight in the window, the longest common
+subsequence of words, and for paraphrases the answer's words. An item longer
+than a passage is looked for by segments of BLOCK words, each of which a window
+can hold, and one found segment has the whole item compared.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ BLOCK = 32
 ROWS = 256
 #: A term of more than this share of passages has no weight, unless an item would keep fewer than KEEP terms.
 COMMON, KEEP = 0.02, 5
-#: Items that are looked for in one pass; a larger benchmark takes several, so what is broadcast is bounded.
+#: Queries (items and segments of items) of one pass; a larger benchmark takes several, so what is broadcast is bounded.
 ITEMS = 5_000
 COSINE_LEAST = 0.33
 WEIGHT_LEAST = 0.45
@@ -75,6 +77,12 @@ class Items:
         return at[same], term[same]
 
 
+def segments(n: int) -> list[tuple[int, int]]:
+    """(start, end) of the queries for an item of n words: the item, and pieces of BLOCK words that cover it."""
+    pieces = -(-n // BLOCK)
+    return [(0, n)] + [(i * (n - BLOCK) // (pieces - 1), i * (n - BLOCK) // (pieces - 1) + BLOCK) for i in range(pieces) if n > BLOCK]
+
+
 def last_sentence(text: str | None) -> str:
     """What stands for an item's answer where the benchmark has no column for it."""
     parts = [p for p in re.split(r"[.!?\n]+", text or "") if p.strip()]
@@ -168,9 +176,20 @@ def leaked(n: int, share: float, told: float) -> bool:
     return share >= SAME or share >= PARAPHRASE and told >= ANSWER
 
 
+def _places(hits: list[tuple[int, float]], size: int) -> Iterator[tuple[int, int, float]]:
+    """(first block, end block, greatest cosine) of hits whose windows begin within an item's length of one another."""
+    hits, at = sorted(hits, key=lambda h: (h[0], -h[1])), 0
+    while at < len(hits):
+        end = at + 1
+        while end < len(hits) and (hits[end][0] - hits[end - 1][0]) * BLOCK < max(size, 1):
+            end += 1
+        yield hits[at][0], hits[end - 1][0] + 2, max(c for _, c in hits[at:end])
+        at = end
+
+
 def _search(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, weight, vectors, queries, keys, shares = shared.value
+        items, weight, vectors, queries, owner, keys, shares = shared.value
         n = len(items.vocabulary)
         for batch in batches:
             rows: list[tuple] = []
@@ -198,7 +217,7 @@ def _search(shared):
                     cosine = z @ queries[q : q + 1024].T
                     win, item = np.nonzero(cosine >= COSINE_LEAST)
                     cos, win, item = cosine[win, item], live[win], item + q
-                    # The share of the item's weight that the window's terms have.
+                    # The share of the query's weight that the window's terms have.
                     stop = np.where(last[win], ends[win + 1], ends[win + 2])
                     size = stop - ends[win]
                     pair = np.repeat(np.arange(len(win)), size)
@@ -208,19 +227,21 @@ def _search(shared):
                     got = np.bincount(pair, np.where(keys[k] == want, shares[k], 0.0), minlength=len(win))
                     for i in np.flatnonzero(got >= WEIGHT_LEAST):
                         doc = int(np.searchsorted(first, win[i], "right") - 1)
-                        found.setdefault((doc, int(item[i])), []).append((int(win[i] - first[doc]), float(cos[i])))
+                        found.setdefault((doc, int(owner[item[i]])), []).append((int(win[i] - first[doc]), float(cos[i])))
                 for (doc, item_), hits in found.items():
                     own, best = w.hash[w.first[doc] : w.first[doc + 1]], None
                     size = len(items.words[item_])
-                    done = -1
-                    for at, cos_ in hits:
-                        low, high = max(0, at * BLOCK - size), (at + 2) * BLOCK + size
-                        if at <= done:
-                            continue
-                        done = at
-                        share, told = judge(items.words[item_], items.answers[item_], own[low:high])
-                        if leaked(size, share, told) and (best is None or share > best[3]):
-                            best = (items.ids[item_], low, cos_, share, told)
+                    # Each window on its own, and neighbours together with what an item has before its last segment.
+                    single = [(at, at + 2, max(c for x, c in hits if x == at)) for at in sorted({x for x, _ in hits})]
+                    ways = [(single, size)] if size <= BLOCK else [(single, size), (list(_places(hits, size)), size + size // 4 + 2)]
+                    for places, margin in ways if size <= 2 * BLOCK else ways[::-1]:
+                        for at, end, cos_ in places:
+                            low, high = max(0, at * BLOCK - margin), end * BLOCK + margin
+                            share, told = judge(items.words[item_], items.answers[item_], own[low:high])
+                            if leaked(size, share, told) and (best is None or share > best[3]):
+                                best = (items.ids[item_], low, cos_, share, told)
+                        if best:
+                            break
                     if best:
                         rows.append((part.column("id")[doc].as_py(), *best))
             if rows:
@@ -253,20 +274,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         first = spark.sparkContext.broadcast(items)
         sums = arrays.total(rows.mapInArrow(_sketch(first), arrays.BLOCK_SCHEMA), ROWS * n + n + 1, 1 << 15, "float64")
         weight, vectors = latent(sums, items)
-        queries, keys, shares = np.zeros((len(held), vectors.shape[1]), np.float32), [], []
-        for i, w in enumerate(items.words):
+        parts = [(i, w[a:b]) for i, w in enumerate(items.words) for a, b in segments(len(w))]
+        queries, keys, shares = np.zeros((len(parts), vectors.shape[1]), np.float32), [], []
+        for i, (_, w) in enumerate(parts):
             term, count = np.unique(items.terms(w)[1], return_counts=True)
             z = (vectors[term] * count[:, None]).sum(axis=0)
             queries[i] = z / max(1e-30, float(np.linalg.norm(z)))
             keys.append(i * n + term)
             shares.append(weight[term] / max(1e-30, weight[term].sum()))
-        second = spark.sparkContext.broadcast((items, weight, vectors, queries, np.concatenate(keys), np.concatenate(shares)))
+        second = spark.sparkContext.broadcast((items, weight, vectors, queries, np.array([i for i, _ in parts]), np.concatenate(keys), np.concatenate(shares)))
         return rows.mapInArrow(_search(second), schema)
 
+    asking = 0
     for row in asked.toLocalIterator():
         held.append(row)
-        if len(held) == ITEMS:
-            found, held = search(held), []
+        asking += len(segments(len(word_hashes(row.text))))
+        if asking >= ITEMS:
+            found, held, asking = search(held), [], 0
             out = found if out is None else out if found is None else out.unionAll(found)
     found = search(held) if held else None
     out = found if out is None else out if found is None else out.unionAll(found)

@@ -178,6 +178,32 @@ def test_leaks(spark, small):
     assert decontaminate.find_leaks(all_.limit(0), bench).count() == 0 and decontaminate.find_leaks(all_, bench.limit(0)).count() == 0
 
 
+def test_leaks_of_long_items(spark):
+    """Items longer than a search window, word for word and with replaced words, in long documents."""
+    rng = np.random.default_rng(3)
+    names = np.array([f"w{i}" for i in range(20_000)])
+    chance = 1.0 / np.arange(20, 20_020)
+    say = lambda n: rng.choice(names, n, p=chance / chance.sum())
+    items, rows, want = [], [], set()
+    for n in [60, 150, 400] * 4:
+        i, own = len(items), say(n)
+        text = " ".join(own[:-5]) + ". " + " ".join(own[-5:])
+        items.append((i, text))
+        for kept in (1.0, 0.75, 0.57):
+            put = np.where((rng.random(n) < kept) | (np.arange(n) >= n - 5), own, [f"other{x}" for x in rng.integers(0, 10**6, n)])
+            doc = len(rows)
+            rows.append((doc, " ".join([*say(rng.integers(100, 900)), *put, *say(300)])))
+            item, answer = decontaminate.word_hashes(text), decontaminate.word_hashes(" ".join(own[-5:]))
+            if decontaminate.leaked(n, *decontaminate.judge(item, answer, decontaminate.word_hashes(rows[-1][1]))):
+                want.add((doc, i))
+    rows += [(len(rows) + i, " ".join(say(600))) for i in range(100)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert len(want) > 30 and {(r.doc_id, r.item_id) for r in decontaminate.find_leaks(docs, bench).collect()} == want
+    for n in (0, 1, 32, 33, 64, 65, 150, 400):
+        whole, *parts = decontaminate.segments(n)
+        assert whole == (0, n) and {x for a, b in parts for x in range(a, b)} == set(range(n if n > 32 else 0)) and all(b - a == 32 for a, b in parts)
+
+
 def test_mixing(spark, small):
     docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
     want = {"high": 0.7, "low": 0.25, "toxic": 0.05}
