@@ -233,9 +233,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.withColumn("kept", F.col(id_col) == F.col("component_id"))
 
 
-def keep_first(docs: DataFrame, **how) -> DataFrame:
-    """docs without all but the smallest id of each group of near duplicates; all columns stay."""
-    id_col = how.get("id_col", "doc_id")
-    gone = near_duplicates(docs, **how).where("not kept").select(F.col(id_col).alias("__gone"))
-    gone = Scratch(docs.sparkSession, "minhash").save(gone, "gone")
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti").dropDuplicates([id_col])
+def _further(rows: DataFrame, scratch: Scratch) -> DataFrame | None:
+    """(id, mark, key) of what no id stands for alone: texts of null ids, second and further texts of an id; None if there are none.
+
+    Keys are distinct and above all ids, in the order of id and mark.
+    """
+    several = rows.where("id is not null").groupBy("id").agg(F.min("mark").alias("first"), F.max("mark").alias("other")).where("first <> other").select("id", "first")
+    more = rows.where("id is null").unionAll(rows.join(several, "id").where("mark <> first").select("id", "mark")).distinct()
+    more = scratch.save(more, "further")
+    if more.isEmpty():
+        return None
+    base = (rows.agg(F.max("id")).first()[0] or 0) + 1
+    numbered = more.orderBy("id", "mark").rdd.zipWithIndex().map(lambda x: (x[0][0], x[0][1], base + x[1]))
+    return scratch.save(rows.sparkSession.createDataFrame(numbered, "id long, mark string, key long"), "keys")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """docs without all but the smallest id of each group of near duplicates; all columns stay.
+
+    Of rows equal in id and text one stays. Texts of null ids, and all but one
+    of different texts with the same id, are compared as documents of their own
+    that come after all ids; null is no id that rows have in common.
+    """
+    scratch = Scratch(docs.sparkSession, "minhash")
+    mark = F.md5(F.coalesce(F.concat(F.lit("="), F.col(text_col).cast("string")), F.lit("")).cast("binary"))
+    further = _further(docs.select(F.col(id_col).cast("long").alias("id"), mark.alias("mark")), scratch)
+    own = F.col(id_col).cast("long")
+    if further is None:
+        keyed = docs.withColumn("__key", own)
+    else:
+        further = further.select(F.col("id").alias("__id"), F.col("mark").alias("__of"), F.col("key").alias("__further"))
+        keyed = docs.join(further, (mark == F.col("__of")) & own.eqNullSafe(F.col("__id")), "left").withColumn("__key", F.coalesce("__further", own)).select(*docs.columns, "__key")
+    gone = near_duplicates(keyed, id_col="__key", text_col=text_col, **how).where("not kept").select(F.col("__key").alias("__gone"))
+    gone = scratch.save(gone, "gone")
+    return keyed.join(gone, F.col("__key") == F.col("__gone"), "left_anti").dropDuplicates(["__key"]).drop("__key")

@@ -80,6 +80,18 @@ def test_minhash_empty_repeated_null(spark):
     assert sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(rows).collect()) == [(5, 5), (7, 7)]
 
 
+def test_keep_first_null_and_shared_ids(spark):
+    text = lambda n: " ".join(f"t{n}x{i}" for i in range(30))
+    rows = [(None, text(1)), (None, text(2)), (None, text(2)), (None, text(3)), (None, None), (None, ""), (3, text(3)), (5, text(5)), (5, text(6)), (5, text(6)), (5, text(3)), (7, text(6)), (8, text(8)), (8, text(8))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = minhash.keep_first(docs, words=5)
+    assert kept.schema == docs.schema
+    got = sorted(map(tuple, kept.collect()), key=str)
+    texts = [t for _, t in got]
+    assert sorted(texts, key=str) == sorted([text(i) for i in (1, 2, 3, 5, 6, 8)] + [None, ""], key=str) and set(got) <= set(rows)
+    assert (3, text(3)) in got and {(None, text(1)), (None, text(2)), (5, text(5)), (8, text(8)), (None, None), (None, "")} <= set(got)
+
+
 def test_retained_loses_no_pair():
     rnd = random.Random(1)
     for _ in range(3000):
