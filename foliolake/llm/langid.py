@@ -22,8 +22,6 @@ from . import arrays, words as W
 BUCKETS = 1 << 16
 BLOCK = 1 << 13
 ROUNDS = 8
-#: Most languages in the set of one document.
-MOST = 3
 #: Log likelihood that a further language must gain, for each word of the document and in all.
 PENALTY_WORD, PENALTY = 0.02, 8.0
 #: A word's log likelihood ratio is bounded, so that one odd word decides nothing.
@@ -113,7 +111,12 @@ def _em(odds: np.ndarray, doc: np.ndarray, first: np.ndarray, start: np.ndarray)
 
 
 def mixture(scores: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(proportions, number of languages) for each text, from the words' log likelihoods."""
+    """(proportions, number of languages) for each text, from the words' log likelihoods.
+
+    Sets of any size are tried. Scaled likelihoods are at most one, so a set's
+    gain is at most its penalty below zero: a text is done when that is no more
+    than its best, and no larger set can win.
+    """
     n_docs, k = len(first) - 1, scores.shape[1]
     sizes = np.diff(first)
     doc = np.repeat(np.arange(n_docs), sizes)
@@ -123,13 +126,21 @@ def mixture(scores: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
     order = np.argsort(-share, axis=1, kind="stable")
     best = np.full(n_docs, -np.inf)
     out, used = np.zeros((n_docs, k)), np.zeros(n_docs, np.int64)
-    for m in range(1, min(MOST, k) + 1):
-        start = np.zeros((n_docs, k), np.float32)
-        np.put_along_axis(start, order[:, :m], 1, axis=1)
-        again, gain = _em(odds, doc, first, start)
-        gain = gain - (m - 1) * (PENALTY + PENALTY_WORD * sizes)
-        better = gain > best
-        best[better], out[better], used[better] = gain[better], again[better], m
+    for m in range(1, k + 1):
+        cost = (m - 1) * (PENALTY + PENALTY_WORD * sizes)
+        open_ = -cost > best
+        own = np.flatnonzero(open_)
+        if not len(own):
+            break
+        start = np.zeros((len(own), k), np.float32)
+        np.put_along_axis(start, order[own, :m], 1, axis=1)
+        words = open_[doc]
+        part = odds if words.all() else odds[words]
+        again, gain = _em(part, np.repeat(np.arange(len(own)), sizes[own]), np.concatenate([[0], np.cumsum(sizes[own])]), start)
+        gain = gain - cost[own]
+        better = gain > best[own]
+        at = own[better]
+        best[at], out[at], used[at] = gain[better], again[better], m
     return out, used
 
 

@@ -151,6 +151,29 @@ def test_language(spark, small):
     assert {r.lang_pred for r in langid.predict(odd, nothing).collect()} == {"und"}
 
 
+def test_mixture_of_many_languages():
+    """Any number of languages; stopping early gives what trying all sizes gives."""
+    own = np.repeat(np.arange(4), 100)
+    shares, used = langid.mixture(np.where(own[:, None] == np.arange(4), 0.0, -10.0), np.array([0, 400]))
+    assert used[0] == 4 and np.abs(shares[0] - 0.25).max() < 0.01
+    rng = np.random.default_rng(0)
+    sizes = np.array([0, *rng.integers(1, 120, 60)])
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    scores = rng.normal(size=(first[-1], 6)) * rng.choice([0.3, 3, 8], (first[-1], 1))
+    for lo, hi in zip(first[:-1], first[1:]):  # up to six languages a text
+        scores[np.arange(lo, hi), rng.integers(0, rng.integers(1, 7), hi - lo)] += 9
+    shares, used = langid.mixture(scores, first)
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    odds = np.exp(np.maximum(scores - scores.max(axis=1, keepdims=True), -langid.CLIP)).astype(np.float32)
+    order = np.argsort(-langid._em(odds, doc, first, np.ones((len(sizes), 6), np.float32))[0], axis=1, kind="stable")
+    gains = []
+    for m in range(1, 7):
+        start = np.zeros((len(sizes), 6), np.float32)
+        np.put_along_axis(start, order[:, :m], 1, axis=1)
+        gains.append(langid._em(odds, doc, first, start)[1] - (m - 1) * (langid.PENALTY + langid.PENALTY_WORD * sizes))
+    assert (used == np.argmax(gains, axis=0) + 1).all() and used.max() > 4 and np.allclose(shares[sizes > 0].sum(axis=1), 1, atol=1e-4)
+
+
 def test_leaks(spark, small):
     docs, bench = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/benchmark.parquet")
     items = [(r.item_id, decontaminate.word_hashes(r.text), decontaminate.word_hashes(decontaminate.last_sentence(r.text))) for r in bench.collect()]
