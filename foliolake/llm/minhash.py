@@ -8,11 +8,16 @@ or more, whatever the order, and frequent shingles, such as those of a passage
 that very many documents share, come last and are rarely retained.
 
 Steps: sets and bucket counts; equal sets collapse to one class; inverted lists
-of the classes' retained values; the least member of a list is compared to all
-others of it, and so are two more in longer lists; in lists that hold several
-components even then, members outside the first are compared to all members
-they are not connected to. Pairs pass a bound from sizes and the value's positions, an estimate
-from the union of both sketches, and the exact Jaccard similarity of full sets.
+of the classes' retained values. Members of a list of at most SHORT are compared
+in place. In longer lists three members are compared to all others; in those
+that hold several components even then, members outside the first component are
+compared to all members they are not connected to. Pairs pass a bound from
+sizes and the value's places, a bound on 64 bits, an estimate from the union of
+both sketches, and the exact Jaccard similarity of full sets.
+
+Retaining by share of the set rather than a fixed k departs from plain bottom-k:
+a fixed k of the hash alone either loses links of documents that consist of
+frequent passages, or pairs every two documents that share a common shingle.
 """
 
 from __future__ import annotations
@@ -29,11 +34,13 @@ from .scratch import Scratch
 BUCKETS = 1 << 20
 BLOCK = 1 << 14
 SKETCH = 32
-#: Pairs whose estimate is below are dropped; at SKETCH values a pair of similarity 0.8 falls there with a chance under 1e-8.
+#: Pairs whose estimate is below are dropped; at SKETCH values a pair of similarity 0.8 falls there with a chance under 1e-8. 0: none is.
 ESTIMATE_LEAST = 0.3
-#: Pairs whose 64 bits agree in fewer are dropped; that is six deviations below what similarity 0.8 gives.
+#: Pairs whose 64 bits agree in fewer are dropped; that is six deviations below what similarity 0.8 gives. 0: none is.
 BITS_LEAST = 43
 BLOOM_BITS = 1 << 24
+#: Members of a list that is compared in one place, and pairs looked at there at once.
+SHORT, PAIRS = 64, 1 << 18
 
 
 def _first_pass(k: int):
@@ -146,13 +153,13 @@ def _bloom(ids: DataFrame, spark) -> np.ndarray:
     return out
 
 
-def _verified(pairs: DataFrame, sketches: DataFrame, documents: DataFrame, k: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
+def _verified(pairs: DataFrame, sketches: DataFrame, documents: DataFrame, k: int, percent: int, estimate_least: float, scratch: Scratch, name: str) -> DataFrame:
     """(u, v) of those pairs (a, b) that the estimate and then the full sets confirm."""
     spark = pairs.sparkSession
     left, right = (sketches.select(F.col("id").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab")
     union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, SKETCH)
     both = F.size(F.array_intersect(F.array_intersect(union, "sa"), "sb"))
-    near = pairs.join(left, "a").join(right, "b").where(both >= ESTIMATE_LEAST * F.size(union)).select("a", "b")
+    near = pairs.join(left, "a").join(right, "b").where(both >= estimate_least * F.size(union)).select("a", "b")
     near = scratch.save(near, f"{name}-near")
     ids = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     bloom = spark.sparkContext.broadcast(_bloom(ids, spark))
@@ -166,16 +173,55 @@ def _verified(pairs: DataFrame, sketches: DataFrame, documents: DataFrame, k: in
     return out
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+def _short_lists(percent: int, bits_least: int):
+    """(id, other) of those pairs of a list's members that sizes, places and bits leave possible."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("own")
+            own, ends = lists.flatten(), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            ids, at, bits = (own.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+            bits = bits.view(np.uint64)  # of signed numbers bitwise_count counts the absolute value's
+            n, left = at >> 32, (at >> 32) - (at & 0xFFFFFFFF)
+            late = (100 + percent) * left < 2 * percent * n
+            found = []
+            for size in np.unique(np.diff(ends)).tolist():
+                one, two = np.triu_indices(size, 1)
+                starts = ends[:-1][np.diff(ends) == size]
+                for some in np.array_split(starts, -(-len(starts) * len(one) // PAIRS)) if size > 1 else []:
+                    x, y = (some[:, None] + one).ravel(), (some[:, None] + two).ravel()
+                    near = np.flatnonzero(np.bitwise_count(bits[x] ^ bits[y]) <= 64 - bits_least)
+                    x, y = x[near], y[near]
+                    bound = np.minimum(left[x], left[y])
+                    fits = (100 * bound >= percent * (n[x] + n[y] - bound)) & ~(late[x] & late[y]) & (ids[x] != ids[y])
+                    found.append(np.stack([np.minimum(ids[x], ids[y])[fits], np.maximum(ids[x], ids[y])[fits]]))
+            if found:
+                a, b = np.unique(np.concatenate(found, axis=1), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["id", "other"])
+
+    return run
+
+
+def _fits(a: str, b: str, percent: int) -> str:
+    """SQL: whether a pair can reach the similarity if this is its first common retained value: all before it are not common."""
+    bound = f"least({a}.n - {a}.pos, {b}.n - {b}.pos)"
+    return f"100 * {bound} >= {percent} * ({a}.n + {b}.n - {bound})"
+
+
+def near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bits_least: int = BITS_LEAST, estimate_least: float = ESTIMATE_LEAST
+) -> DataFrame:
     """One row per document: id_col, n_shingles, component_id, kept.
 
-    docs: any columns; only id_col (long, distinct) and text_col are read.
-    A document's set holds its distinct `words`-word shingles (of fewer words,
-    the whole sequence as one). Documents link if 100 * |A and B| >= percent *
-    |A or B|; component_id is the smallest id reachable, kept is true for it.
-    A null or empty text, or one of white space, has an empty set and links
-    with nothing; rows with a null id are left out; repeated rows count as one.
-    An empty table gives an empty table.
+    docs: any columns; only id_col (long, distinct) and text_col are read, so
+    other columns may have any names. A document's set holds its distinct
+    `words`-word shingles (of fewer words, the whole sequence as one). Documents
+    link if 100 * |A and B| >= percent * |A or B|; component_id is the smallest
+    id reachable, kept is true for it. A null or empty text, or one of white
+    space, has an empty set and links with nothing; rows with a null id are left
+    out; of rows with one id an arbitrary one counts (keep_first has a way for
+    both). An empty table gives an empty table. Texts are read whole, whatever
+    their length. bits_least and estimate_least of 0 verify all candidate pairs.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
@@ -190,40 +236,52 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = keyed.select(F.col("rep").alias("id"))
     second = documents.mapInArrow(_second_pass(words, percent, classes), "id long, n long, keep array<long>, sketch array<int>, bits long").where("n > 0")
     second = scratch.save(second.join(reps, "id", "left_semi").dropDuplicates(["id"]), "retained")
-
-    # If this is a pair's first common value, all before it are not common: least(na - pa, nb - pb) bounds the intersection.
-    fits = f"100 * least(na - pa, nb - pb) >= {percent} * (na + nb - least(na - pa, nb - pb))"
-    # So of a pair that fits the smaller member is early; lists need one of those, and it leads.
-    early = F.expr(f"{100 + percent} * (n - pos) >= {2 * percent} * n").alias("early")
-    postings = second.select(F.posexplode("keep").alias("pos", "value"), "id", F.col("n").cast("int").alias("n")).select("value", "id", "n", "pos", early)
-    lists = postings.groupBy("value").agg(F.min(F.struct((~F.col("early")).alias("late"), "id", "n", "pos")).alias("lead"), F.count("*").alias("m"), F.count_if("early").alias("heads")).where("m > 1 and heads > 0")
-    listed = postings.join(lists, "value").select("value", F.col("lead.id").alias("lead"), F.col("lead.n").alias("na"), F.col("lead.pos").alias("pa"), F.col("id"), F.col("n").alias("nb"), F.col("pos").alias("pb"), "early", (F.least("m", F.lit(3)) + F.least("heads", F.lit(2)) == 5).alias("more"))
-    listed = scratch.save(listed, "lists")
     sketches = second.select("id", "sketch")
 
-    members = scratch.save(listed.where("more").select("value", "id", F.col("nb").alias("n"), F.col("pb").alias("pos"), "early"), "members")
-
-    # Each list's leader, and in longer lists two other early members, are compared to all others of the list.
-    pair = lambda df: df.where("lead <> id").where(fits).select(F.least("lead", "id").alias("a"), F.greatest("lead", "id").alias("b"))
-    luck = lambda seed: F.min(F.struct((~F.col("early")).alias("late"), F.xxhash64("id", F.lit(seed)).alias("h"), "id", "n", "pos"))
-    second_lead = members.groupBy("value").agg(F.array(luck(1), luck(2)).alias("leads")).select("value", F.explode("leads").alias("l"))
-    second_lead = second_lead.select("value", F.col("l.id").alias("lead"), F.col("l.n").alias("na"), F.col("l.pos").alias("pa"))
-    others = members.select("value", "id", F.col("n").alias("nb"), F.col("pos").alias("pb")).join(second_lead, "value")
-    links = _verified(pair(listed).unionAll(pair(others)).distinct(), sketches, documents, words, percent, scratch, "stars")
-    scratch.drop(listed)
+    # A list's member is its id, its size and the value's place in it (as one number), and 64 bits. Of a pair that
+    # may be similar the smaller one is early. Lists need two members, one of them early.
+    at = F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")
+    postings = second.select(F.posexplode("keep").alias("pos", "value"), "id", "n", "bits").select("value", "id", at.alias("at"), "bits")
+    n, pos = (lambda c: F.shiftright(c, 32)), (lambda c: c.bitwiseAND(F.lit((1 << 32) - 1)))
+    late = lambda c: (100 + percent) * (n(c) - pos(c)) < 2 * percent * n(c)
+    lists = postings.groupBy("value").agg(F.count("*").alias("m"), F.count_if(~late(F.col("at"))).alias("heads")).where("m > 1 and heads > 0")
+
+    # Short lists are compared in place; what is left are the members of longer ones.
+    short = postings.join(lists.where(F.col("m") <= SHORT).select("value"), "value").groupBy("value").agg(F.collect_list(F.struct("id", "at", "bits")).alias("own"))
+    short = short.select("own").mapInArrow(_short_lists(percent, bits_least), "id long, other long").select(F.lit(None).cast("long").alias("value"), "id", "other", F.lit(None).cast("long").alias("bits"))
+    rest = postings.join(lists.where(F.col("m") > SHORT).select("value"), "value").select("value", "id", F.col("at").alias("other"), "bits")
+    listed = scratch.save(short.unionAll(rest), "lists")
+    short = listed.where("value is null").select(F.col("id").alias("a"), F.col("other").alias("b"))
+    listed = listed.where("value is not null").select("value", "id", F.col("other").alias("at"), "bits")
+
+    whole = lambda x: F.struct(n(x["at"]).alias("n"), pos(x["at"]).alias("pos"), x["id"].alias("id"), x["bits"].alias("bits"))
+    alike = f"bit_count(x.bits ^ y.bits) <= {64 - bits_least}"
+    pair = [F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")]
+
+    # Three early members of each longer list are compared to all others of it.
+    lead = lambda *by: F.min(F.struct(late(F.col("at")).alias("late"), *by, "id", "at", "bits"))
+    chance = lambda seed: F.xxhash64("id", F.lit(seed)).alias("h")
+    leads = listed.groupBy("value").agg(F.array(*[F.struct(*(x[c].alias(c) for c in ("id", "at", "bits"))) for x in (lead(), lead(chance(1)), lead(chance(2)))]).alias("leads"))
+    stars = listed.join(leads, "value").select(F.explode(F.array_distinct("leads")).alias("lead"), F.struct("id", "at", "bits").alias("own")).select(whole(F.col("lead")).alias("x"), whole(F.col("own")).alias("y"))
+    stars = stars.where("x.id <> y.id").where(alike).where(_fits("x", "y", percent)).select(*pair)
+    links = _verified(stars.unionAll(short).distinct(), sketches, documents, words, percent, estimate_least, scratch, "stars")
     parts = scratch.save(graph.components(links, scratch), "parts")
 
     # Lists that hold several components even so: what is outside the smallest against what it isn't connected to.
-    named = second.select("id", "bits").join(parts.select(F.col("node").alias("id"), "component"), "id", "left").select("id", "bits", F.coalesce("component", "id").alias("component"))
-    of_list = Window.partitionBy("value")  # sorted and spilled, no list is held whole
-    known = members.join(named, "id").withColumns({"low": F.min("component").over(of_list), "high": F.max("component").over(of_list)}).where("low <> high")
-    known = scratch.save(known, "open")
-    x = known.where("component <> low").select("value", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("early").alias("ea"), F.col("component").alias("ca"), F.col("bits").alias("ba"), "low")
-    y = known.select("value", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("early").alias("eb"), F.col("component").alias("cb"), F.col("bits").alias("bb"))
-    apart = f"ca <> cb and (cb = low or a < b) and (ea or eb) and {fits} and bit_count(ba ^ bb) <= {64 - BITS_LEAST}"
-    rest = x.join(y, "value").where(apart).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = _verified(rest, sketches, documents, words, percent, scratch, "rest")
-    scratch.drop(members, known)
+    named = parts.select(F.col("node").alias("id"), "component")
+    members = listed.join(named, "id", "left").select("value", "id", "at", "bits", F.coalesce("component", "id").alias("component"))
+    members = scratch.save(members, "members")
+    scratch.drop(listed)
+    several = members.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("value", "low")
+    known = members.join(several, "value")
+    known = scratch.save(known.select("value", "low", "component", whole(F.struct("id", "at", "bits")).alias("own"), late(F.col("at")).alias("late")), "open")
+    scratch.drop(members)
+    x = known.where("component <> low").select("value", "low", F.col("component").alias("cx"), F.col("own").alias("x"), F.col("late").alias("lx"))
+    y = known.select("value", F.col("component").alias("cy"), F.col("own").alias("y"), F.col("late").alias("ly"))
+    apart = f"cx <> cy and (cy = low or x.id < y.id) and not (lx and ly) and {alike} and {_fits('x', 'y', percent)}"
+    rest = x.join(y, "value").where(apart).select(*pair).distinct()
+    more = _verified(rest, sketches, documents, words, percent, estimate_least, scratch, "rest")
+    scratch.drop(known)
     parts = scratch.save(graph.components(links.unionAll(more), scratch), "all-parts")
 
     classed = keyed.join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left").select("n", "one", "two", F.coalesce("component", "rep").alias("component"))

@@ -12,8 +12,8 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text worked on at once; one longer text is worked on alone.
-CHUNK = 1 << 20
+#: Bytes of text worked on at once; a longer text makes a chunk of its own, whose words are hashed piece by piece.
+CHUNK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -69,7 +69,36 @@ def chunks(batch: pa.RecordBatch, column: str = "text", most: int = CHUNK) -> It
         at = to
 
 
+def _pieces(offsets: np.ndarray, data: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Bounds of pieces of about CHUNK bytes, each up to a space or a text's end; a longer word stays whole."""
+    at, n = 0, len(data)
+    while at < n:
+        to = min(n, at + CHUNK)
+        edge = int(offsets[np.searchsorted(offsets, to)])
+        while to < edge:
+            space = np.flatnonzero(SPACE[data[to : min(to + CHUNK, edge)]])
+            if len(space):
+                to += int(space[0])
+                break
+            to = min(to + CHUNK, edge)
+        yield at, to
+        at = to
+
+
 def words(offsets: np.ndarray, data: np.ndarray) -> Words:
+    """Words of the texts data[offsets[i]:offsets[i+1]]; hashes do not depend on where a word stands."""
+    if len(data) <= 2 * CHUNK:
+        return _words(offsets, data)
+    found = []
+    for at, to in _pieces(offsets, data):
+        own = np.concatenate([[0], offsets[(offsets > at) & (offsets < to)] - at, [to - at]])
+        w = _words(own, data[at:to])
+        found.append((w.start + at, w.end + at, w.hash))
+    start, end, hashes = (np.concatenate(x) for x in zip(*found))
+    return Words(np.searchsorted(start, offsets), start, end, hashes)
+
+
+def _words(offsets: np.ndarray, data: np.ndarray) -> Words:
     n = len(data)
     if not n:
         empty = np.zeros(0, np.int64)
