@@ -3,14 +3,18 @@
 A classifier fitted on labelled rows gives each document's posterior over
 domains. Nonnegative rates r, one a document, are fitted by least squares so
 that the expected tokens of each domain, the sum of r * tokens * posterior, match
-their targets: scaled projected gradient steps from r = 1, in which all that
-goes to the driver is one small sum over domains, and all that comes back is one
-step direction. A rate is a function of the posterior and the steps so far, so
-no step rewrites the table.
+their targets. From r = 1, each step moves against the gradient and cuts at 0:
+with the moments M (the sum of tokens * posterior * posterior') as the measure
+of misses and tokens as that of rates, the Lipschitz constant is one, so a step
+of one never overshoots; accelerated steps (with momentum, dropped whenever the
+miss rises) need few passes. All that goes to the driver is one small sum over
+domains a step, and all that comes back is one direction. A rate is a function of the posterior and the steps so far, so no
+step rewrites the table.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -26,9 +30,8 @@ SAMPLE = 8_000
 EPOCHS, RATE, DECAY = 120, 0.5, 1e-3
 #: A word counts if some domain has it this many standard deviations more or less often than by chance.
 TELLING = 5.0
+#: Steps at most, and the miss of a target, as a share of all tokens, that is small enough. What is missed in the end is reported.
 STEPS, ENOUGH = 30, 1e-4
-#: By default, a rate this close to a whole number is that number of copies.
-NEAR = 0.05
 
 
 def domain(quality: Column, toxic: Column) -> Column:
@@ -120,65 +123,132 @@ def _memberships(shared):
     return run
 
 
-def _rate(steps: list[np.ndarray]) -> Column:
+def _moved(steps: list[tuple[np.ndarray, float]]) -> Column:
+    """(r, y): a document's rate after the steps, and the point ahead of it that the next step starts from."""
+    start = F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y"))
     if not steps:
-        return F.lit(1.0)
-    each = F.array(*[F.array(*[F.lit(float(x)) for x in g]) for g in steps])
-    dot = lambda g: F.aggregate(F.zip_with("p", g, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    return F.aggregate(each, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - dot(g)))
+        return start
+    each = F.array(*[F.struct(F.array(*[F.lit(float(x)) for x in c]).alias("c"), F.lit(float(b)).alias("b")) for c, b in steps])
+    dot = lambda c: F.aggregate(F.zip_with("p", c, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
 
+    def step(a: Column, s: Column) -> Column:
+        new = F.array(F.greatest(F.lit(0.0), a.y - dot(s.c)))
+        return F.element_at(F.transform(new, lambda r: F.struct(r.alias("r"), (r + s.b * (r - a.r)).alias("y"))), 1)
 
-def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | Callable[[dict[str, float]], dict[str, float]], id_col: str = "doc_id", text_col: str = "text", near: float = NEAR, **how) -> DataFrame:
-    """One row per row of docs: id_col, tokens, rate, copies, membership (a map of posteriors).
+    return F.aggregate(each, start, step)
 
-    targets: weights of domains, whose tokens are to add up to what there is, or
-    a function from the present expected tokens to the targets. A domain without
-    a target gets 0. A text that is null or empty has no tokens and the mean
-    posterior; its rate is as any other's. copies is the rate rounded up or down
-    by a hash of id and text, with the rate as expectation, but for rates within
-    `near` of a whole number. With no labelled document every rate is 1.
-    """
-    spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    model = learn(docs, labels, id_col, text_col, **how)
-    if model is None:
-        return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("tokens"), F.lit(1.0).alias("rate"), F.lit(1).alias("copies"), F.lit(None).cast("map<string,double>").alias("membership"))
-    shared = spark.sparkContext.broadcast(model)
-    table = Scratch(spark, "mixing").save(rows.mapInArrow(_memberships(shared), f"id {kind}, tokens long, p array<double>"), "memberships")
+
+class Fit:
+    """A classifier and the steps of the rates; miss is the greatest difference from a target as a share of all tokens."""
+
+    def __init__(self, model: Classifier | None, steps: list[tuple[np.ndarray, float]], miss: float):
+        self.model, self.steps, self.miss = model, steps, miss
+
+    def columns(self, rows: DataFrame) -> DataFrame:
+        """rows (id, p) with rate and copies: the rate rounded up or down by a hash of id and posterior, with the rate as expectation."""
+        luck = F.pmod(F.xxhash64("id", "p", F.lit(41)), F.lit(1 << 30)) / float(1 << 30)
+        rows = rows.withColumn("rate", _moved(self.steps).r)
+        return rows.withColumn("copies", (F.floor("rate") + F.when(luck < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int"))
+
+
+Targets = dict[str, float] | Callable[[dict[str, float]], dict[str, float]]
+
+
+def fitted(table: DataFrame, model: Classifier, targets: Targets) -> Fit:
+    """Fits the rates of a table (tokens, p) by projected gradient steps."""
     k = len(model.domains)
+    t = F.col("tokens").cast("double")
+
+    def sums(cells: list, rows: DataFrame = table) -> np.ndarray:
+        return np.array([float(x or 0) for x in rows.agg(*[F.sum(c).alias(f"c{n}") for n, c in enumerate(cells)]).first()])
 
-    def sums(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        now = table.withColumn("r", _rate(steps)).withColumn("t", F.col("tokens").cast("double"))
-        cells = [F.sum(F.col("r") * F.col("t") * F.col("p")[i]) for i in range(k)]
-        cells += [F.sum(F.when(F.col("r") > 0, F.col("t") * F.col("p")[i] * F.col("p")[j])) for i in range(k) for j in range(i + 1)]
-        got = [float(x or 0) for x in now.agg(*[c.alias(f"c{n}") for n, c in enumerate(cells)]).first()]
-        moment = np.zeros((k, k))
-        for value, (i, j) in zip(got[k:], ((i, j) for i in range(k) for j in range(i + 1))):
-            moment[i, j] = moment[j, i] = value
-        return np.array(got[:k]), moment
-
-    totals, moment = sums([])
+    def tokens(steps: list, which: str) -> np.ndarray:
+        return sums([F.col("at") * t * F.col("p")[i] for i in range(k)], table.select("tokens", "p", _moved(steps)[which].alias("at")))
+
+    places = [(i, j) for i in range(k) for j in range(i + 1)]
+    got = sums([t * F.col("p")[i] for i in range(k)] + [t * F.col("p")[i] * F.col("p")[j] for i, j in places])
+    totals, moment = got[:k], np.zeros((k, k))
+    for value, (i, j) in zip(got[k:], places):
+        moment[i, j] = moment[j, i] = value
     n = max(1.0, totals.sum())
     if callable(targets):
         want = targets(dict(zip(model.domains, totals.tolist())))
     else:
         want = {d: n * w / sum(targets.values()) for d, w in targets.items()}
     goal = np.array([want.get(d, 0.0) for d in model.domains])
-    steps: list[np.ndarray] = []
-    while len(steps) < STEPS and np.abs(totals - goal).max() > ENOUGH * n:
-        steps.append(np.linalg.lstsq(moment + 1e-9 * n * np.eye(k), totals - goal, rcond=1e-9)[0])
-        totals, moment = sums(steps)
-    luck = F.pmod(F.xxhash64("id", "p", F.lit(41)), F.lit(1 << 30)) / float(1 << 30)
-    rate, whole = F.col("rate"), F.round("rate")
-    copies = F.when(F.abs(rate - whole) <= near, whole).otherwise(F.floor(rate) + F.when(luck < rate - F.floor(rate), 1).otherwise(0)).cast("int")
-    out = table.withColumn("rate", _rate(steps)).withColumn("copies", copies)
-    return out.select(F.col("id").alias(id_col), "tokens", "rate", "copies", F.map_from_arrays(F.array(*[F.lit(d) for d in model.domains]), "p").alias("membership"))
-
-
-def mixed(docs: DataFrame, labels: DataFrame, targets, id_col: str = "doc_id", **how) -> DataFrame:
-    """docs with each row as often as its copies say; all columns stay. Rows with a null id stay once."""
-    found = rates(docs, labels, targets, id_col=id_col, **how).where(F.col(id_col).isNotNull() & (F.col("copies") != 1)).groupBy(F.col(id_col).alias("__id")).agg(F.min("copies").alias("__copies"))
-    found = Scratch(docs.sparkSession, "mixing").save(found, "copies")
-    out = docs.join(found, F.col(id_col) == F.col("__id"), "left").withColumn("__copies", F.coalesce("__copies", F.lit(1))).where("__copies > 0")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__id", "__copies", "__copy")
+    measure = np.linalg.inv(moment + 1e-9 * n * np.eye(k))
+    steps: list[tuple[np.ndarray, float]] = []
+    off, last, pace = totals - goal, np.inf, 1.0
+    while np.abs(off).max() > ENOUGH * n and len(steps) < STEPS:
+        now = float(off @ measure @ off)
+        pace, last = (pace if now <= last else 1.0), now
+        faster = (1 + (1 + 4 * pace * pace) ** 0.5) / 2
+        steps.append((measure @ off, (pace - 1) / faster))
+        pace = faster
+        off = tokens(steps, "y") - goal
+    if steps:
+        steps[-1] = (steps[-1][0], 0.0)
+        off = tokens(steps, "r") - goal
+    return Fit(model, steps, float(np.abs(off).max() / n))
+
+
+def fit_rates(docs: DataFrame, labels: DataFrame, targets: Targets, id_col: str = "doc_id", text_col: str = "text", **how) -> tuple[Fit, DataFrame | None]:
+    """(fit, the written table of id, tokens, p). With no labelled document there is no table and every rate is 1."""
+    spark = docs.sparkSession
+    model = learn(docs, labels, id_col, text_col, **how)
+    if model is None:
+        return Fit(None, [], 0.0), None
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    shared = spark.sparkContext.broadcast(model)
+    table = Scratch(spark, "mixing").save(rows.mapInArrow(_memberships(shared), f"id {kind}, tokens long, p array<double>"), "memberships")
+    fit = fitted(table, model, targets)
+    if fit.miss > 10 * ENOUGH:
+        warnings.warn(f"no rates meet the targets: {fit.miss:.4f} of all tokens missed", stacklevel=2)
+    return fit, table
+
+
+def rates(docs: DataFrame, labels: DataFrame, targets: Targets, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """One row per row of docs: id_col, tokens, rate, copies, membership (a map of posteriors), miss.
+
+    targets: weights of domains, whose tokens are to add up to what there is, or
+    a function from the present expected tokens to the targets. A domain without
+    a target gets 0. A text that is null or empty has no tokens and the mean
+    posterior; its rate is as any other's, and so is that of a null or repeated
+    id. copies is the rate rounded up or down by a hash of id and posterior, with
+    the rate as expectation: equal rows get the same. miss is the same in all
+    rows: what the best rates found miss a target by, as a share of all tokens.
+    With no labelled document every rate is 1 and tokens are not counted (0). An
+    empty table gives an empty table.
+    """
+    fit, table = fit_rates(docs, labels, targets, id_col, text_col, **how)
+    if fit.model is None:
+        return docs.select(F.col(id_col), F.lit(0).cast("long").alias("tokens"), F.lit(1.0).alias("rate"), F.lit(1).alias("copies"), F.lit(None).cast("map<string,double>").alias("membership"), F.lit(0.0).alias("miss"))
+    named = F.map_from_arrays(F.array(*[F.lit(d) for d in fit.model.domains]), "p").alias("membership")
+    return fit.columns(table).select(F.col("id").alias(id_col), "tokens", "rate", "copies", named, F.lit(fit.miss).alias("miss"))
+
+
+def mixed(docs: DataFrame, labels: DataFrame, targets: Targets, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """docs with each row as often as its copies say; all columns stay, whatever their names.
+
+    Posteriors are computed again beside the rows, so nothing is joined or
+    shuffled, and rows with null or shared ids have their own copies.
+    """
+    fit, _ = fit_rates(docs, labels, targets, id_col, text_col, **how)
+    if fit.model is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(fit.model)
+
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = _memberships(shared)
+        for batch in batches:
+            own = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column("text")], names=["id", "text"])
+            at = 0
+            for part in of(iter([own])):
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(at, part.num_rows), batch.column("id").slice(at, part.num_rows), part.column("p")], names=["row", "id", "p"])
+                at += part.num_rows
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.mapInArrow(beside, f"row {docs.schema.simpleString()}, id {kind}, p array<double>")
+    return fit.columns(rows).where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
