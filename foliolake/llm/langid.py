@@ -26,8 +26,8 @@ ROUNDS = 8
 PENALTY_WORD, PENALTY = 0.02, 8.0
 #: A word's log likelihood ratio is bounded, so that one odd word decides nothing.
 CLIP = 12.0
-#: Most languages that are learned, the most frequent first; a table of BUCKETS floats each goes to every worker.
-LANGUAGES = 500
+#: Languages counted in one pass; all are learned, and a table of BUCKETS floats each goes to every worker.
+LANGUAGES = 64
 
 
 def _features(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -40,11 +40,13 @@ def _features(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarra
         w = W.words(offsets, plain)
         # Letters of a word and the space on either side: bytes start-1 .. end.
         padded = np.concatenate([[np.uint8(32)], plain, [np.uint8(32), np.uint8(32)]])
-        code = padded[:-2].astype(np.uint32) << np.uint32(16) | padded[1:-1].astype(np.uint32) << np.uint32(8) | padded[2:]
+        before, after = padded[:-2].copy(), padded[2:].copy()
+        before[offsets[:-1]], after[offsets[1:] - 1] = 32, 32  # what stands in the next text is no neighbour
+        code = before.astype(np.uint32) << np.uint32(16) | padded[1:-1].astype(np.uint32) << np.uint32(8) | after
         code = (code * np.uint32(2654435761)) >> np.uint32(16)
         size = w.end - w.start
         first = np.concatenate([[0], np.cumsum(size)])
-        at = np.arange(first[-1]) + np.repeat(w.start - first[:-1], size)  # the trigram around each letter byte; texts never touch, a bound reads as its own byte
+        at = np.arange(first[-1]) + np.repeat(w.start - first[:-1], size)  # the trigram around each letter byte
         yield part, w.first, first, code[at], part.column("letter").to_numpy(zero_copy_only=False)
 
 
@@ -84,10 +86,14 @@ class Model:
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Counts the trigrams of every labelled document that isn't held out. The driver gets one row of BUCKETS counts a language."""
     known = docs.where(F.col(lang_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    codes = sorted(r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect())
+    codes = sorted(r[0] for r in known.select("lang").distinct().collect())
     if not codes:
         return Model([], np.zeros((0, BUCKETS), np.float32))
-    counts = arrays.total(known.mapInArrow(_count(codes), arrays.BLOCK_SCHEMA), len(codes) * BUCKETS, BLOCK, "uint64").reshape(len(codes), BUCKETS).astype(float)
+    counts = np.zeros((len(codes), BUCKETS))
+    for at in range(0, len(codes), LANGUAGES):
+        some = codes[at : at + LANGUAGES]
+        rows = known if len(codes) <= LANGUAGES else known.where(F.col("lang").isin(some))
+        counts[at : at + len(some)] = arrays.total(rows.mapInArrow(_count(some), arrays.BLOCK_SCHEMA), len(some) * BUCKETS, BLOCK, "uint64").reshape(len(some), BUCKETS)
     smooth = counts + 0.01 * counts.mean(axis=1, keepdims=True) + 0.01
     logs = np.log(smooth / smooth.sum(axis=1, keepdims=True))
     return Model(codes, (logs - logs.mean(axis=0)).astype(np.float32))
@@ -176,21 +182,29 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return rows.mapInArrow(_predict(model.languages, logs), f"id {kind}, lang_pred string, score double, mixture map<string,double>").withColumnRenamed("id", id_col)
 
 
-def accepted(docs: DataFrame, model: Model, least_score: float = 0.0, text_col: str = "text") -> DataFrame:
-    """docs without the rows that are und or score below least_score; all columns stay, nothing is shuffled."""
+def accepted(docs: DataFrame, model: Model, least_score: float = 0.5, languages: list[str] | None = None, text_col: str = "text") -> DataFrame:
+    """docs whose language is told: predicted as one of `languages` (any learned one if None) that makes up least_score of the text.
+
+    Texts that are null or have no letter go. Where nothing was learned, all
+    others stay. All columns, null ids and repeated rows stay; nothing is shuffled.
+    """
     logs = docs.sparkSession.sparkContext.broadcast(np.ascontiguousarray(model.logs.T))
     of = _predict(model.languages, logs)
+    wanted = set(model.languages if languages is None else languages) - {"und"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
-            own = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), batch.column(text_col).cast(pa.string())], names=["id", "text"])
+            text = batch.column(text_col).cast(pa.string())
             keep = np.zeros(n, bool)
-            for found in of(iter([own])):
-                ok = np.array(found.column("lang_pred").to_pylist(), object) != "und"
-                keep[found.column("id").to_numpy()] = ok & (found.column("score").to_numpy() >= least_score)
+            if model.languages:
+                for found in of(iter([pa.RecordBatch.from_arrays([pa.array(np.arange(n)), text], names=["id", "text"])])):
+                    told = np.array([x in wanted for x in found.column("lang_pred").to_pylist()], bool)
+                    keep[found.column("id").to_numpy()] = told & (found.column("score").to_numpy() >= least_score)
+            else:
+                keep = pc.match_substring_regex(text.fill_null(""), r"\p{L}").to_numpy(zero_copy_only=False)
             yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)
