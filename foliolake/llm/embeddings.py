@@ -41,7 +41,13 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each vector times a power of two that takes its largest component to 0.5 .. 1, so that squares neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True, initial=0))[1])
+
+
 def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -172,8 +178,9 @@ class Side:
     """Vectors of one side of a tile, in component order, with the norms of what follows each step."""
 
     def __init__(self, x: np.ndarray, turn: np.ndarray):
-        self.x, self.norm = x, np.linalg.norm(x, axis=1)
-        self.y = (x / self.norm[:, None]) @ turn
+        self.x = scaled(x)
+        self.norm = np.linalg.norm(self.x, axis=1)
+        self.y = (self.x / self.norm[:, None]) @ turn
         self.ends = [s for s in STEPS if s < self.y.shape[1]] + [self.y.shape[1]]
         self.lead = self.y[:, : self.ends[0]].astype(np.float32)
         self.rest = [np.sqrt(np.maximum(0, (self.y[:, e:] ** 2).sum(axis=1))) for e in self.ends]
@@ -235,8 +242,9 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     Vectors link if their cosine, in double precision, is at least `least` (over
     0); component_id is the smallest id reachable, kept is true for it. A vector
     that is null, empty, zero or holds a null or a value that isn't finite links
-    with nothing, and so do vectors of different lengths. Repeated rows are
-    vectors of their own; rows with a null id are left out.
+    with nothing, and so do vectors of different lengths. Very large and very
+    small components keep their precision. Repeated rows are vectors of their
+    own; rows with a null id are left out; other columns may have any names.
     """
     spark = rows.sparkSession
     scratch = Scratch(spark, "embeddings")
