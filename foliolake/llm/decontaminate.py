@@ -5,12 +5,14 @@ One pass over all documents counts, in how many passages each term is, and adds
 up a sparse random sketch of the passage-term matrix (each passage goes, with a
 random sign, to one of ROWS rows). Weighting the sketch's columns by the inverse
 passage frequency and a small singular value decomposition give the terms'
-latent vectors: a randomised SVD of the TF-IDF matrix in one pass. A second pass
+latent vectors: a randomised SVD of the TF-IDF matrix in one pass, of which the
+leading RANK dimensions are kept and the others are oversampling. A second pass
 projects windows of two adjacent passages, retrieves by cosine, and checks what
 is found: the share of the query's term weight in the window, the longest common
-subsequence of words, and for paraphrases the answer's words. An item longer
-than a passage is looked for by segments of BLOCK words, each of which a window
-can hold, and one found segment has the whole item compared.
+subsequence of words,
+and for paraphrases the answer's words. An item longer than a passage is looked
+for by segments of BLOCK words, each of which a window can hold, and one found
+segment has the whole item compared.
 """
 
 from __future__ import annotations
@@ -27,14 +29,14 @@ from . import arrays, words as W
 from .scratch import Scratch
 
 BLOCK = 32
-#: Rows of the sketch; the latent space has as many dimensions.
-ROWS = 256
+#: Rows of the sketch, and dimensions of the latent space. Items have little in common, so fewer dimensions than items tell them apart badly.
+ROWS, RANK = 512, 240
 #: A term of more than this share of passages has no weight, unless an item would keep fewer than KEEP terms.
 COMMON, KEEP = 0.02, 5
 #: Queries (items and segments of items) of one pass; a larger benchmark takes several, so what is broadcast is bounded.
-ITEMS = 5_000
+ITEMS = 1_500
 COSINE_LEAST = 0.33
-WEIGHT_LEAST = 0.45
+WEIGHT_LEAST = 0.4
 #: Common subsequence, as a share of the item's words: enough alone; enough with the answer's words.
 SAME, PARAPHRASE, ANSWER = 0.7, 0.5, 0.8
 #: Items of fewer words must be there word for word.
@@ -62,7 +64,8 @@ class Items:
 
     def __init__(self, ids: list[int], texts: list[str | None], answers: list[str | None]):
         self.words = [word_hashes(t) for t in texts]
-        self.answers = [word_hashes(a) for a in answers]
+        self.sequences = [Sequence(w) for w in self.words]
+        self.answers = [Sequence(word_hashes(a)) for a in answers]
         self.ids = ids
         self.vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.words]))
         self.present = np.zeros(1 << 20, bool)
@@ -115,7 +118,7 @@ def _sketch(shared):
                 seed[np.diff(w.first) > 0] = own
                 luck = W.mix(np.repeat(seed, np.diff(first)) + np.arange(first[-1], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                 row, sign = (luck % np.uint64(ROWS)).astype(np.int64), 1.0 - 2.0 * (luck >> np.uint64(63)).astype(float)
-                sums[: ROWS * n] += np.bincount(row[block] * n + term, count * sign[block], minlength=ROWS * n)
+                np.add.at(sums, row[block] * n + term, count * sign[block])
                 sums[ROWS * n : -1] += np.bincount(term, minlength=n)
                 sums[-1] += first[-1]
         rows = list(arrays.blocks_of(sums, 1 << 15))
@@ -125,14 +128,8 @@ def _sketch(shared):
     return run
 
 
-def latent(sums: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, latent vectors) of the terms from the added-up sketch and counts.
-
-    Dimensions are scaled by their singular values, or the few that common terms
-    share would hide the many that tell items apart.
-    """
-    n = len(items.vocabulary)
-    seen, passages = sums[ROWS * n : -1], sums[-1]
+def weights(seen: np.ndarray, passages: float, items: Items) -> np.ndarray:
+    """Inverse passage frequencies of the terms; 0 for common ones, unless an item would keep fewer than KEEP."""
     weight = np.log((1 + passages) / (1 + seen))
     light = seen > COMMON * passages
     for w in items.words:
@@ -140,33 +137,68 @@ def latent(sums: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
         if (~light[np.unique(term)]).sum() < KEEP:
             light[term] = False
     weight[light] = 0
-    _, sizes, right = np.linalg.svd(sums[: ROWS * n].reshape(ROWS, n) * weight, full_matrices=False)
-    real = sizes > 1e-6 * max(sizes[0], 1e-30)
-    return weight, (right[real].T * weight[:, None] / sizes[real]).astype(np.float32)
-
+    return weight
 
-def common(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common subsequence."""
-    best = np.zeros(len(b) + 1, np.int64)
-    for x in a:
-        best[1:] = np.maximum(best[1:], best[:-1] + (b == x))
-        np.maximum.accumulate(best, out=best)
-    return int(best[-1])
 
+def latent(sketch: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Latent vectors of the terms from the weighted sketch.
 
-def judge(item: np.ndarray, answer: np.ndarray, region: np.ndarray) -> tuple[float, float]:
+    Dimensions are scaled by their singular values, or the few that common terms
+    share would hide the many that tell items apart.
+    """
+    _, sizes, right = np.linalg.svd(sketch * weight, full_matrices=False)
+    real = np.flatnonzero(sizes > 1e-6 * max(sizes[0], 1e-30))[:RANK]
+    return (right[real].T * weight[:, None] / sizes[real]).astype(np.float32)
+
+
+def _projected(block: np.ndarray, term: np.ndarray, count: np.ndarray, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(blocks, their vectors); the rows of a block stand together."""
+    starts = np.flatnonzero(np.diff(block, prepend=-1))
+    size = np.diff(starts, append=len(block))
+    order = np.argsort(-size, kind="stable")  # so that the blocks of more than j terms come first
+    at, size = starts[order], size[order]
+    z = np.zeros((len(starts), vectors.shape[1]), np.float32)
+    for j in range(int(size[0]) if len(size) else 0):
+        own = at[: np.searchsorted(-size, -j, "left")] + j
+        more = vectors[term[own]]
+        several = np.flatnonzero(count[own] > 1)
+        more[several] *= count[own][several, None].astype(np.float32)
+        z[: len(own)] += more
+    return block[at], z
+
+
+class Sequence:
+    """A text's words, to be compared with stretches of others."""
+
+    def __init__(self, own: np.ndarray):
+        self.n, self.places = len(own), {}
+        for i, x in enumerate(own.tolist()):
+            self.places[x] = self.places.get(x, 0) | 1 << i
+
+    def common(self, other: list[int]) -> int:
+        """Length of the longest common subsequence: a bit a word, one addition a word of the other."""
+        all_ = row = (1 << self.n) - 1
+        get = self.places.get
+        for x in other:
+            same = row & get(x, 0)
+            if same:
+                row = (row + same | row - same) & all_
+        return self.n - row.bit_count()
+
+
+def judge(item: Sequence, answer: Sequence, region: list[int]) -> tuple[float, float]:
     """(share of the item, share of the answer) that is a common subsequence with the best stretch of the region.
 
     Stretches are little longer than the item, so that common words far apart don't add up.
     """
-    n = len(item)
+    n = item.n
     span = n if n < SHORT else n + n // 4 + 2
     best, where = 0, 0
     for at in range(0, max(1, len(region) - span + 1), 1 if n < SHORT else max(1, n // 8)):
-        got = common(item, region[at : at + span])
+        got = item.common(region[at : at + span])
         if got > best:
             best, where = got, at
-    told = common(answer, region[max(0, where - 2) : where + span + len(answer)]) / len(answer) if len(answer) else 0.0
+    told = answer.common(region[max(0, where - 2) : where + span + answer.n]) / answer.n if answer.n else 0.0
     return best / n, told
 
 
@@ -176,6 +208,22 @@ def leaked(n: int, share: float, told: float) -> bool:
     return share >= SAME or share >= PARAPHRASE and told >= ANSWER
 
 
+def asked_for(items: Items, weight: np.ndarray, vectors: np.ndarray) -> tuple:
+    """What the search needs: unit vectors of the queries, their items, their terms' shares of their weight, the least weight of a window."""
+    n = len(items.vocabulary)
+    parts = [(i, w[a:b]) for i, w in enumerate(items.words) for a, b in segments(len(w))]
+    queries, keys, shares, least = np.zeros((len(parts), vectors.shape[1]), np.float32), [], [], []
+    for i, (_, w) in enumerate(parts):
+        term, count = np.unique(items.terms(w)[1], return_counts=True)
+        z = (vectors[term] * count[:, None]).sum(axis=0)
+        queries[i] = z / max(1e-30, float(np.linalg.norm(z)))
+        keys.append(i * n + term)
+        least.append(weight[term].sum())
+        shares.append(weight[term] / max(1e-30, least[-1]))
+    most = [x for x in least if x > 0]
+    return items, weight, vectors, queries, np.array([i for i, _ in parts]), np.concatenate(keys), np.concatenate(shares), WEIGHT_LEAST * min(most, default=0.0) * (1 - 1e-6)
+
+
 def _places(hits: list[tuple[int, float]], size: int) -> Iterator[tuple[int, int, float]]:
     """(first block, end block, greatest cosine) of hits whose windows begin within an item's length of one another."""
     hits, at = sorted(hits, key=lambda h: (h[0], -h[1])), 0
@@ -189,7 +237,7 @@ def _places(hits: list[tuple[int, float]], size: int) -> Iterator[tuple[int, int
 
 def _search(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, weight, vectors, queries, owner, keys, shares = shared.value
+        items, weight, vectors, queries, owner, keys, shares, least = shared.value
         n = len(items.vocabulary)
         for batch in batches:
             rows: list[tuple] = []
@@ -199,17 +247,24 @@ def _search(shared):
                 first, block, term, count = _blocks(w, items)
                 heavy = weight[term] > 0
                 block, term, count = block[heavy], term[heavy], count[heavy]
+                last = np.zeros(first[-1] + 1, bool)
+                last[first[1:] - 1] = True
+                # Windows (a block and the next of its text) of less weight than any query asks for are left out.
+                load = np.bincount(block, weight[term], minlength=first[-1] + 1)
+                load[:-1] += np.where(last[:-1], 0, load[1:])
+                may = load >= least
+                may[1:] |= may[:-1].copy()
+                some = may[block]
+                block, term, count = block[some], term[some], count[some]
                 if not len(block):
                     continue
                 z = np.zeros((first[-1] + 1, vectors.shape[1]), np.float32)
-                starts = np.flatnonzero(np.diff(block, prepend=-1))
-                z[block[starts]] = np.add.reduceat(vectors[term] * count[:, None].astype(np.float32), starts, axis=0)
-                last = np.zeros(first[-1] + 1, bool)
-                last[first[1:] - 1] = True
-                z[:-1] += np.where(last[:-1, None], 0, z[1:])  # a window: a block and the next of its text
+                own, z_own = _projected(block, term, count, vectors)
+                z[own] = z_own
+                z[:-1] += np.where(last[:-1, None], 0, z[1:])
                 z = z[:-1]
                 norm = np.sqrt((z * z).sum(axis=1))
-                live = np.flatnonzero(norm > 0)
+                live = np.flatnonzero((norm > 0) & (load[:-1] >= least))
                 z = z[live] / norm[live, None]
                 ends = np.searchsorted(block, np.arange(first[-1] + 2))
                 found: dict[tuple[int, int], list] = {}
@@ -229,7 +284,7 @@ def _search(shared):
                         doc = int(np.searchsorted(first, win[i], "right") - 1)
                         found.setdefault((doc, int(owner[item[i]])), []).append((int(win[i] - first[doc]), float(cos[i])))
                 for (doc, item_), hits in found.items():
-                    own, best = w.hash[w.first[doc] : w.first[doc + 1]], None
+                    own, best = w.hash[w.first[doc] : w.first[doc + 1]].tolist(), None
                     size = len(items.words[item_])
                     # Each window on its own, and neighbours together with what an item has before its last segment.
                     single = [(at, at + 2, max(c for x, c in hits if x == at)) for at in sorted({x for x, _ in hits})]
@@ -237,7 +292,7 @@ def _search(shared):
                     for places, margin in ways if size <= 2 * BLOCK else ways[::-1]:
                         for at, end, cos_ in places:
                             low, high = max(0, at * BLOCK - margin), end * BLOCK + margin
-                            share, told = judge(items.words[item_], items.answers[item_], own[low:high])
+                            share, told = judge(items.sequences[item_], items.answers[item_], own[low:high])
                             if leaked(size, share, told) and (best is None or share > best[3]):
                                 best = (items.ids[item_], low, cos_, share, told)
                         if best:
@@ -273,16 +328,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
             return None
         first = spark.sparkContext.broadcast(items)
         sums = arrays.total(rows.mapInArrow(_sketch(first), arrays.BLOCK_SCHEMA), ROWS * n + n + 1, 1 << 15, "float64")
-        weight, vectors = latent(sums, items)
-        parts = [(i, w[a:b]) for i, w in enumerate(items.words) for a, b in segments(len(w))]
-        queries, keys, shares = np.zeros((len(parts), vectors.shape[1]), np.float32), [], []
-        for i, (_, w) in enumerate(parts):
-            term, count = np.unique(items.terms(w)[1], return_counts=True)
-            z = (vectors[term] * count[:, None]).sum(axis=0)
-            queries[i] = z / max(1e-30, float(np.linalg.norm(z)))
-            keys.append(i * n + term)
-            shares.append(weight[term] / max(1e-30, weight[term].sum()))
-        second = spark.sparkContext.broadcast((items, weight, vectors, queries, np.array([i for i, _ in parts]), np.concatenate(keys), np.concatenate(shares)))
+        weight = weights(sums[ROWS * n : -1], sums[-1], items)
+        vectors = latent(sums[: ROWS * n].reshape(ROWS, n), weight)
+        second = spark.sparkContext.broadcast(asked_for(items, weight, vectors))
         return rows.mapInArrow(_search(second), schema)
 
     asking = 0
