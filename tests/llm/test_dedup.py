@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from foliolake.llm import embeddings, minhash
+from foliolake.llm import embeddings, minhash, words
 
 
 def shingle_sets(rows, k):
@@ -73,6 +73,27 @@ def test_minhash(spark, k):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted({c for c in want.values()})
 
 
+def test_minhash_long_lists_and_exact(spark, monkeypatch):
+    """Lists too long to be compared in place, and bounds set to verify all candidates, give the same."""
+    rows = fixture()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, words=2).collect()}
+    monkeypatch.setattr(minhash, "SHORT", 2)
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, words=2).collect()} == want
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, words=2, bits_least=0, estimate_least=0.0).collect()} == want
+
+
+def test_words_in_pieces(monkeypatch):
+    rnd = random.Random(0)
+    texts = ["", "a", " ", "x" * 500, "é ü " * 90, " ".join("w" * rnd.randint(1, 9) for _ in range(200)), "end "]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    whole = words._words(offsets, data)
+    for size in (1, 7, 64, 300):
+        monkeypatch.setattr(words, "CHUNK", size)
+        assert all(np.array_equal(a, b) for a, b in zip(words.words(offsets, data), whole))
+
+
 def test_minhash_empty_repeated_null(spark):
     schema = "doc_id long, text string"
     assert minhash.near_duplicates(spark.createDataFrame([], schema)).count() == 0
@@ -119,6 +140,12 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_extreme_size(spark):
+    rows = [(1, [1.0, 2.0]), (2, [1e200, 2e200]), (3, [1e-200, 2e-200]), (4, [-1e300, 1e300]), (5, [5e-324, 0.0]), (6, [1.0, 0.0])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (1, 5), 6: (1, 5)}
+
+
 @pytest.mark.parametrize("least", [0.95, 0.8])
 def test_plan_deals_every_link(least):
     """Each linked pair meets in exactly one leaf, pivots and cuts included."""
