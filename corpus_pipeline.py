@@ -13,15 +13,15 @@ from foliolake.llm.queries import table, token_output
 from foliolake.llm.scratch import Scratch
 from foliolake.session import importable
 
+#: The share of a text that its language must make up.
+LEAST_SCORE = 0.5
 #: What is left of the toxic domain's expected tokens; the other domains keep theirs.
 TOXIC_SHARE = 0.1
-#: Rates this close to one leave a document as it is.
-NEAR_ONE = 0.15
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without any letter, whose language is undetermined."""
-    return langid.accepted(docs, langid.learn(docs))
+    """Keeps documents of which half or more is in one learned language; texts without a letter go too."""
+    return langid.accepted(docs, langid.learn(docs), least_score=LEAST_SCORE)
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,12 +35,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Thins out the toxic domain by fitted rates; rates of other documents stay near one."""
+    """Thins out the toxic domain by fitted rates, rounded by chance; the other domains keep their expected tokens."""
 
     def targets(now: dict[str, float]) -> dict[str, float]:
         return {d: n * (TOXIC_SHARE if d == "toxic" else 1.0) for d, n in now.items()}
 
-    return mixing.mixed(docs, table(spark, sf_dir, "labels"), targets, near=NEAR_ONE)
+    return mixing.mixed(docs, table(spark, sf_dir, "labels"), targets)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
