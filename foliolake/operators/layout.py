@@ -235,3 +235,21 @@ def islands(operators: DataFrame, keys: list[str]) -> DataFrame:
     closed = F.sum(F.when(F.col("op") == "EMC", 1).otherwise(0)).over(w)
     marked = F.sum(F.when(F.col("op").isin("BMC", "BDC"), 1).otherwise(0)).over(w)
     return operators.withColumns({"artifact_no": opened, "__in": marked - closed}).where("artifact_no > 0 and __in > 0").drop("__in")
+
+
+def phrase_hits(docs: DataFrame, phrases: DataFrame) -> DataFrame:
+    """doc_id, text, item_id, phrase where the text contains the phrase, by hash joins.
+
+    docs: doc_id (distinct), text. phrases: item_id, phrase, of any number. A
+    word with a space on either side in the phrase has one in the text too, so the
+    longest such word finds the candidates. Phrases of fewer than three words have
+    none; only they, which are short, are looked for in every text.
+    """
+    words = F.split("phrase", " ")
+    inner = F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != "")
+    keyed = phrases.where("phrase <> ''").withColumn("key", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
+    tokens = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", " "))).alias("key"))
+    likely = tokens.join(keyed.where("key is not null"), "key").select("doc_id", "item_id", "phrase")
+    found = docs.join(likely, "doc_id").where(F.col("text").contains(F.col("phrase"))).select("doc_id", "text", "item_id", "phrase")
+    short = docs.join(keyed.where("key is null").select("item_id", "phrase"), F.col("text").contains(F.col("phrase"))).select("doc_id", "text", "item_id", "phrase")
+    return found.unionAll(short)

@@ -126,10 +126,10 @@ def object_counts(s, d):
     return o.groupBy("doc_id").agg(F.max("obj_num").alias("max_number"), F.count_if("is_stream").alias("n_streams"))
 
 
-@query("WITH c AS (SELECT doc_id, substr(text, 1, 30) AS t FROM documents) SELECT doc_id, len(list_filter(generate_series(2, length(t)), lambda i: t[i] <> ' ' AND t[i - 1] <> ' '))::BIGINT AS joined FROM c")
+@query("SELECT doc_id, (length(replace(text, ' ', '')) - len(list_filter(string_split(text, ' '), lambda x: x <> '')))::BIGINT AS joined FROM documents WHERE replace(text, ' ', '') <> ''")
 def letter_adjacency(s, d):
     """Single characters that touch the one before."""
-    c = table(s, d, "documents").select("doc_id", F.posexplode(F.split(F.substring("text", 1, 30), "")).alias("i", "text"))
+    c = table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "")).alias("i", "text"))
     c = c.where("text <> ' ' and text <> ''").withColumns({"x": F.col("i") * 6.0, "width": F.lit(6.0)})
     return L.adjacency(c, ["doc_id"], ["i"]).groupBy("doc_id").agg(F.count_if("joined").alias("joined"))
 

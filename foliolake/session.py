@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -32,3 +33,17 @@ def importable(spark: SparkSession) -> SparkSession:
         if now <= 0 or now > most:
             spark.conf.set(k, str(most))
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, or, only where that is unset, the checkpoint folder in use or in local mode one of our own."""
+    said = spark.conf.get("spark.checkpoint.dir", None)
+    if said:
+        return said.rstrip("/")
+    have = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not have.isDefined():
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="foliolake-"))
+        have = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return have.get().rstrip("/")

@@ -414,16 +414,32 @@ def rows_of(data: bytes, relation: str) -> list[list]:
     if relation == "errors":
         try:
             f = File(data)
-            list(_pages(f)), list(_objects(f))
-            return [] if f.version and f.refs() else [["no PDF header" if not f.version else "no objects"]]
+            if not f.version or not f.refs():
+                return [["no PDF header" if not f.version else "no objects"]]
         except Exception as e:
-            return [[f"{type(e).__name__}: {e}"[:200]]]
+            return [[_failure("file", e)]]
+        return [[said] for name in _READ for said in [_read(f, name)[1]] if said]
     try:
-        return list(_READ[relation](File(data)))
-    except Exception:
+        return _read(File(data), relation)[0]
+    except Exception:  # the file as a whole; errors has a row
         return []
 
 
+def _failure(name: str, e: Exception) -> str:
+    return f"{name}: {type(e).__name__}: {e}"[:200]
+
+
+def _read(f: File, relation: str) -> tuple[list[list], str | None]:
+    """The relation's rows up to a failure, and what failed."""
+    rows: list[list] = []
+    try:
+        for row in _READ[relation](f):
+            rows.append(row)
+    except Exception as e:
+        return rows, _failure(relation, e)
+    return rows, None
+
+
 def scan(files: DataFrame, relation: str, id_col: str = "doc_id", content_col: str = "content") -> DataFrame:
     """The relation's rows of every file, with its id; a null file gives none. No shuffle."""
     kind = files.schema[id_col].dataType.simpleString()
