@@ -13,14 +13,14 @@ from foliolake.llm.queries import table, token_output
 from foliolake.llm.scratch import Scratch
 from foliolake.session import importable
 
-#: The share of a text that its language must make up.
-LEAST_SCORE = 0.5
+#: The share of a text that its language must make up. Short documents with a line in another language are clean.
+LEAST_SCORE = 1 / 3
 #: What is left of the toxic domain's expected tokens; the other domains keep theirs.
 TOXIC_SHARE = 0.1
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents of which half or more is in one learned language; texts without a letter go too."""
+    """Keeps documents of which a third or more is in one learned language; texts without a letter go too."""
     return langid.accepted(docs, langid.learn(docs), least_score=LEAST_SCORE)
 
 
