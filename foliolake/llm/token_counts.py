@@ -127,7 +127,7 @@ def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, known = _of(path)
         for batch in batches:
-            for part, _, _ in W.chunks(batch):
+            for part, _, _ in W.chunks(batch, most=W.STRINGS):
                 rows = []
                 for text in part.column("text").to_pylist():
                     words = pieces = unknown = 0

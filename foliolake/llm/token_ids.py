@@ -133,7 +133,7 @@ def _encode(path: str, end_id: int, bounds: list[int]):
         of, small, edges = word_ids(path), zstandard.ZstdCompressor(level=1), np.array(bounds, np.int64)
         last = np.array([end_id], of.kind).tobytes()
         for batch in batches:
-            for part, _, _ in W.chunks(batch):
+            for part, _, _ in W.chunks(batch, most=W.STRINGS):
                 raw = [of.ids(t or "") + last for t in part.column("text").to_pylist()]
                 shard = np.searchsorted(edges, part.column("id").fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), "right")
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(shard.astype(np.int32)), pa.array([small.compress(r) for r in raw], pa.binary())], names=["id", "shard", "ids"])

@@ -14,6 +14,8 @@ import pyarrow as pa
 
 #: Bytes of text worked on at once; a longer text makes a chunk of its own, whose words are hashed piece by piece.
 CHUNK = 1 << 18
+#: Bytes of texts that are read as strings, word by word.
+STRINGS = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
