@@ -127,8 +127,8 @@ def test_licenses_as_published(spark):
 def test_token_counts(spark):
     vocabulary = token_counts.public_vocabulary()
     of = token_counts.Automaton(vocabulary, vocabulary)
-    for w in ["thinoredation", "überéchque", "a", "日本", "zzzzqqqq", "###", "1"]:
-        assert of.count(w) == token_counts.greedy(w, vocabulary, vocabulary)
+    for w in ["thinoredation", "überéchque", "a", "日本", "Привет", "한국어", "zzzzqqqq", "###", "1", "\U0001f600\U0001f600"]:
+        assert of.count(token_counts.letters(w)) == token_counts.greedy(token_counts.letters(w), vocabulary, vocabulary) > 0
     import random
 
     rnd, first, more = random.Random(0), {"a", "ab", "abc", "b", "c", "bcd", "d"}, {"b", "bc", "cd", "d", "e"}
@@ -139,6 +139,19 @@ def test_token_counts(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "The theory, 12!"), (3, "The theory, 12!")], "doc_id long, text string")
     rows = sorted(tuple(r) for r in token_counts.count_tokens(docs).collect())
     assert rows[0] == (1, 0, 0, 0) and rows[2] == rows[3] and rows[2][1] == 6
+    long = docs.select(F.lit(1).alias("doc_id"), F.lit("語" * 20_000 + " theory" * 200_000).alias("text"), F.lit(0).alias("n_tokens"), F.lit(0).alias("id")).limit(1)
+    assert [(r.n_words, r.n_unknown) for r in token_counts.count_tokens(long).collect()] == [(200_001, 0)]
+    assert token_counts.count_tokens(docs.limit(0)).count() == 0
+
+
+def test_token_counts_near_the_tokenizer(spark, small):
+    from tokenizers import Tokenizer
+
+    of = Tokenizer.from_file(token_ids.vocabulary_file())
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    want = {r.doc_id: len(of.encode(r.text or "", add_special_tokens=False).ids) for r in docs.collect()}
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs).collect()}
+    assert got.keys() == want.keys() and sum(abs(got[k] - n) for k, n in want.items()) < 0.03 * sum(want.values())
 
 
 @pytest.mark.parametrize("bits", [1, 3, 7, 8, 11, 15, 16, 17, 31, 32])
