@@ -75,6 +75,18 @@ def visual_order(fragments: DataFrame, keys: list[str], band: float = 2.0) -> Da
     return banded.withColumn("side", side).withColumn("visual_no", F.row_number().over(order)).drop("side")
 
 
+def rotated_order(fragments: DataFrame, keys: list[str], rotation: int, band: float = 3.0) -> DataFrame:
+    """Reading order of pages turned by 90 or 270 degrees in the column ord: columns of x, then y up or, for 270, down."""
+    y = F.coalesce("y", F.lit(0.0)) * (-1 if rotation == 270 else 1)
+    w = Window.partitionBy(*keys).orderBy(F.floor(F.coalesce("x", F.lit(0.0)) / band), y, "frag_idx")
+    return fragments.withColumn("ord", F.row_number().over(w).cast("long"))
+
+
+def line_averages(fragments: DataFrame, keys: list[str]) -> DataFrame:
+    """Mean y of the fragments of each line."""
+    return fragments.groupBy(*keys).agg(F.avg("y").alias("average_y"))
+
+
 def dominant_rotation(fragments: DataFrame, keys: list[str]) -> DataFrame:
     """The rotation of more than half of a page's characters, else 0."""
     each = fragments.groupBy(*keys, "rotation").agg(F.sum(F.length("text")).alias("n"))

@@ -280,3 +280,32 @@ def fixed_catalogs(x: DataFrame) -> DataFrame:
     """Without /AA, /OCProperties, /XFA and embedded files; /NeedAppearances false; an sRGB output intent."""
     keys = F.filter("keys", lambda k: ~k.isin("AA", "OCProperties"))
     return x.withColumns({"keys": F.array_union(keys, F.array(F.lit("OutputIntents"))), "need_appearances": F.when(F.col("need_appearances").isNotNull(), "false"), "has_xfa": F.lit(False), "embedded_files": F.lit(False), "output_intents": F.coalesce("output_intents", F.array(F.lit("GTS_PDFA1")))})
+
+
+def fixed_trailers(x: DataFrame) -> DataFrame:
+    """With /ID, without /Encrypt."""
+    keys = F.array_sort(F.array_union(F.array_remove("keys", "Encrypt"), F.array(F.lit("ID"))))
+    return x.withColumns({"keys": keys, "has_id": F.lit(True), "encrypted": F.lit(False)})
+
+
+def without_additional_actions(x: DataFrame) -> DataFrame:
+    """Pages or fields without /AA."""
+    return x.withColumn("keys", F.array_remove("keys", "AA"))
+
+
+def with_trim_boxes(pages: DataFrame) -> DataFrame:
+    """Pages without a /TrimBox get one, in trim_llx to trim_ury, which is their media box; null where a page has its own."""
+    lacks = ~F.array_contains("keys", "TrimBox")
+    boxes = {f"trim_{c}": F.when(lacks, F.col(c)) for c in ("llx", "lly", "urx", "ury")}
+    return pages.withColumns(boxes).withColumn("keys", F.array_sort(F.array_union("keys", F.array(F.lit("TrimBox")))))
+
+
+def fixed_pdf_x_info(info: DataFrame, files: DataFrame, version: str, conformance: str | None = None) -> DataFrame:
+    """Entries of /Info with the version, the conformance if given, and /Trapped False where it is missing or neither True nor False."""
+    trapped = info.where("key = 'Trapped' and value in ('True', 'False')").select("doc_id", "key", "value")
+    ids = files.select("doc_id")
+    said = {"GTS_PDFXVersion": version, "GTS_PDFXConformance": conformance}
+    new = [ids.select("doc_id", F.lit(k).alias("key"), F.lit(v).alias("value")) for k, v in said.items() if v is not None]
+    new.append(ids.join(trapped, "doc_id", "left").select("doc_id", F.lit("Trapped").alias("key"), F.coalesce("value", F.lit("False")).alias("value")))
+    kept = info.where(~F.col("key").isin("Trapped", *(k for k, v in said.items() if v is not None))).select("doc_id", "key", "value")
+    return reduce(DataFrame.unionByName, [kept, *new])

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import edit_queries, html_queries, pdf_queries, stream_queries, text_queries
+from .plans import edit_queries, html_queries, pdf_queries, rewrite_queries, stream_queries, text_queries
 from .plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "edit_queries", "flagship", "html_queries", "pdf_queries", "stream_queries"]
+__all__ = ["ORACLES", "QUERIES", "edit_queries", "flagship", "html_queries", "pdf_queries", "rewrite_queries", "stream_queries"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ SCHEMAS: dict[str, str] = {
     "fonts": "obj_num long, base_font string, subtype string, encoding string, has_descriptor boolean, embedded boolean, keys array<string>, descriptor_keys array<string>",
     "annotations": f"page_no long, annot_idx long, subtype string, contents string, name string, title string, flags long, {RECT}, action string, uri string, dest_page long, keys array<string>",
     "fields": "ord long, name string, kind string, value string, flags long, n_kids long, keys array<string>",
-    "outlines": "ord long, level long, title string, page_no long, open boolean, n_children long",
+    "outlines": "ord long, level long, title string, page_no long, open boolean, n_children long, parent long",
     "destinations": "ord long, name string, page_no long, fit string, source string",
     "labels": "start long, style string, prefix string, first long",
     "info": "key string, value string",
@@ -271,19 +271,19 @@ def _fields(f: File):
 def _outlines(f: File):
     pages, out, seen = f.pages(), [], set()
 
-    def walk(ref, level: int) -> int:
+    def walk(ref, level: int, parent: int | None) -> int:
         n = 0
         while isinstance(d := f.get(ref), dict) and id(d) not in seen and level < 64:
             seen.add(id(d))
             n += 1
             place = len(out)
             dest = d.get("Dest", _dict(f, d.get("A")).get("D"))
-            out.append([place + 1, level, _said(f, d.get("Title")), _page_of(f, pages, dest), (_int(f.get(d.get("Count"))) or 0) >= 0, 0])
-            out[place][5] = walk(d.get("First"), level + 1)
+            out.append([place + 1, level, _said(f, d.get("Title")), _page_of(f, pages, dest), (_int(f.get(d.get("Count"))) or 0) >= 0, 0, parent])
+            out[place][5] = walk(d.get("First"), level + 1, place + 1)
             ref = d.get("Next")
         return n
 
-    walk(_dict(f, _catalog(f).get("Outlines")).get("First"), 1)
+    walk(_dict(f, _catalog(f).get("Outlines")).get("First"), 1, None)
     return out
 
 
@@ -464,6 +464,14 @@ def scan(files: DataFrame, relation: str, id_col: str = "doc_id", content_col: s
     return files.select(F.col(id_col).alias("id"), F.col(content_col).alias("content")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
+def create_views(files: DataFrame, prefix: str = "pdf_", relations: list[str] | None = None) -> list[str]:
+    """Temporary views of the relations, for spark.sql; their names. A view is read when a statement uses it."""
+    names = list(relations or SCHEMAS)
+    for name in names:
+        scan(files, name).createOrReplaceTempView(prefix + name)
+    return [prefix + name for name in names]
+
+
 def _batch(rows: list[list], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
@@ -474,4 +482,4 @@ def read_pdfs(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:
     return found.select(F.col("path").alias("doc_id"), "content", "length", "modificationTime")
 
 
-__all__ = ["IDENTITY", "Lexer", "SCHEMAS", "point", "read_pdfs", "rows_of", "scan", "tree", "xmp_properties"]
+__all__ = ["IDENTITY", "Lexer", "SCHEMAS", "create_views", "point", "read_pdfs", "rows_of", "scan", "tree", "xmp_properties"]
