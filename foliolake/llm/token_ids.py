@@ -13,12 +13,14 @@ vocabulary, little-endian from the block's first bit on:
     payload binary       ceil(sum(sizes) * bits / 8) bytes
 
 Shards, blocks and documents follow each other in ascending document id. The
-block offsets (first) and sizes give any document or id range by reading one
-row group's columns and unpacking with numpy, no loop over ids.
+block offsets (first) and sizes give any document (read_documents) or id range
+(read_range) by unpacking the wanted bytes of its blocks with numpy, no loop
+over ids.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from array import array
@@ -72,13 +74,35 @@ _SIGNED = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
 _BYTE_LEVEL = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b < 127 or 161 <= b < 173 or 174 <= b))}
 
 
+# What a tokenizer file must say for its texts to be cut at spaces and line feeds, lower-cased here and remembered by word.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
 class WordIds:
-    """Ids of a lower-casing byte-level tokenizer that never joins text across a space or line feed, remembered by the stretches between them."""
+    """Ids of a tokenizer file.
+
+    Of a lower-casing byte-level one that never joins text across a space or
+    line feed (the two fixed values above, added pieces without such a
+    character), remembered by the stretches between them; of any other, by
+    encoding each text as a whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as file:
+            says = json.load(file)
+        self.by_word = says["normalizer"] == _NORMALIZER and says["pre_tokenizer"] == _PRE_TOKENIZER and not any(" " in a["content"] or "\n" in a["content"] or a["lstrip"] or a["rstrip"] or a["normalized"] for a in says["added_tokens"])
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = "<u2" if self.vocabulary <= 1 << 16 else "<u4"
         self.code = "H" if self.kind == "<u2" else "I"
@@ -113,6 +137,8 @@ class WordIds:
         return array(self.code, self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def ids(self, text: str) -> bytes:
+        if not self.by_word:
+            return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         new, look = self.new.get, self._look
         return b"".join([new(w) or look(w) for w in text.replace("\n", " ").split(" ") if w])
 
@@ -189,6 +215,15 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
     dealt.mapInArrow(_write(of.kind, width(max(of.vocabulary, end_id + 1))), SCHEMA).write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
+def _bases(blocks: DataFrame) -> tuple[dict[int, int], int]:
+    """The ids before each shard, and of all shards."""
+    totals = blocks.select("shard", F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("shard").agg(F.sum("n").alias("n")).orderBy("shard").collect()
+    base, at = {}, 0
+    for row in totals:
+        base[row.shard], at = at, at + row.n
+    return base, at
+
+
 def read_ids(spark: SparkSession, path: str, then: Callable[[np.ndarray], int] | None = None) -> DataFrame:
     """One row per document of a written folder: doc_id, start, n_tokens and ids, or value = then(ids).
 
@@ -196,10 +231,7 @@ def read_ids(spark: SparkSession, path: str, then: Callable[[np.ndarray], int] |
     shard goes to the driver.
     """
     blocks = spark.read.schema(SCHEMA).parquet(path)
-    totals = blocks.select("shard", F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("shard").agg(F.sum("n").alias("n")).orderBy("shard").collect()
-    base, at = {}, 0
-    for row in totals:
-        base[row.shard], at = at, at + row.n
+    base, _ = _bases(blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,5 +246,53 @@ def read_ids(spark: SparkSession, path: str, then: Callable[[np.ndarray], int] |
     return blocks.mapInArrow(run, "doc_id long, start long, n_tokens long, out " + ("long" if then else "array<int>")).withColumnRenamed("out", "value" if then else "ids")
 
 
+def read_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+    """doc_id, start, n_tokens, ids of the documents asked for, by unpacking their bytes alone.
+
+    A document that is not there gives no row, one that is there twice two;
+    documents without an id are not looked up.
+    """
+    wanted = frozenset(int(i) for i in doc_ids)
+    blocks = spark.read.schema(SCHEMA).parquet(path)
+    base, _ = _bases(blocks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                ends = np.cumsum([0, *row["sizes"]])
+                at = [k for k, doc in enumerate(row["doc_ids"]) if doc in wanted]
+                ids = [unpack(row["payload"], row["bits"], int(ends[k]), int(ends[k + 1])).astype(np.int32) for k in at]
+                places, sizes = [int(ends[k]) + row["first"] + base[row["shard"]] for k in at], [row["sizes"][k] for k in at]
+                yield pa.RecordBatch.from_arrays([pa.array([row["doc_ids"][k] for k in at], pa.int64()), pa.array(places, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "start", "n_tokens", "ids"])
+
+    held = blocks.where(F.arrays_overlap("doc_ids", F.array(*[F.lit(i).cast("long") for i in sorted(wanted)]))) if wanted else blocks.limit(0)
+    return held.mapInArrow(run, "doc_id long, start long, n_tokens long, ids array<int>")
+
+
+def read_range(spark: SparkSession, path: str, start: int, stop: int) -> DataFrame:
+    """The ids start .. stop - 1 of all documents in a row: start, ids, one row per block that holds some of them.
+
+    The range is clipped to what is there. Shards outside it are left out by
+    the scan, blocks outside it are not unpacked, nor is the rest of a block.
+    """
+    blocks = spark.read.schema(SCHEMA).parquet(path)
+    base, total = _bases(blocks)
+    start, stop = max(start, 0), min(stop, total)
+    after = {s: at for s, at in zip(base, [*list(base.values())[1:], total])}
+    shards = [s for s in base if base[s] < stop and after[s] > start]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                at = base[row["shard"]] + row["first"]
+                low, high = max(start - at, 0), min(stop - at, sum(row["sizes"]))
+                if low < high:
+                    ids = unpack(row["payload"], row["bits"], low, high).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array([at + low], pa.int64()), pa.array([ids], pa.list_(pa.int32()))], names=["start", "ids"])
+
+    held = blocks.where(F.col("shard").between(shards[0], shards[-1])) if shards and start < stop else blocks.limit(0)
+    return held.mapInArrow(run, "start long, ids array<int>")
+
+
 def crc32(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())

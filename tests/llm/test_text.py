@@ -181,6 +181,35 @@ def test_token_ids(spark, tmp_path):
     assert [r.doc_id for r in token_ids.read_ids(spark, str(tmp_path / "twice")).orderBy("start").collect()] == [None, 10, 10]
 
 
+def test_random_access(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_ids, "BLOCK_IDS", 64)
+    path, rng = str(tmp_path / "ids"), np.random.default_rng(4)
+    docs = spark.createDataFrame([(i * 3, " ".join(rng.choice(["one", "Twofold", "éa", "4711", "&&"], int(rng.integers(0, 60))))) for i in range(200)], "doc_id long, text string")
+    token_ids.write_ids(docs, path)
+    rows = token_ids.read_ids(spark, path).orderBy("start").collect()
+    whole = np.concatenate([r.ids for r in rows])
+    want = {r.doc_id: r for r in rows if r.doc_id in (0, 3, 300, 597)}
+    got = token_ids.read_documents(spark, path, [597, 3, 0, 300, 300, 1, -5]).collect()
+    assert len(got) == 4 and {r.doc_id: r for r in got} == want
+    assert token_ids.read_documents(spark, path, []).count() == 0
+    for a, b in [(0, 1), (0, len(whole)), (63, 65), (1000, 3000), (len(whole) - 2, len(whole) + 9), (-5, 7)]:
+        parts = token_ids.read_range(spark, path, a, b).orderBy("start").collect()
+        assert parts[0].start == max(a, 0) and sum((p.ids for p in parts), []) == whole[max(a, 0) : b].tolist()
+    assert all(token_ids.read_range(spark, path, a, b).count() == 0 for a, b in [(5, 5), (9, 3), (len(whole), len(whole) + 5)])
+    token_ids.write_ids(docs.limit(0), str(tmp_path / "none"))
+    assert token_ids.read_range(spark, str(tmp_path / "none"), 0, 5).count() == token_ids.read_documents(spark, str(tmp_path / "none"), [3]).count() == 0
+
+
+def test_ids_of_other_tokenizers():
+    from tokenizers import Tokenizer
+
+    path = token_ids.vocabulary_file("byte_bpe_50k.json")
+    of, plain = token_ids.WordIds(path), Tokenizer.from_file(path)
+    assert not of.by_word and token_ids.WordIds(token_ids.vocabulary_file()).by_word
+    for text in ["", "Two  words, É ÉCOLE\n\n x", "日本 😀😀ok😀", "a<|endoftext|>b"]:
+        assert np.frombuffer(of.ids(text), of.kind).tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
 def test_language(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     model = langid.learn(docs)
