@@ -228,11 +228,13 @@ def pdf_gstate_depth(s, d):
     return ops.groupBy("doc_id").agg(F.max("depth").alias("deepest"), F.max_by("depth", "op_idx").alias("at_end"))
 
 
-@query(f"WITH {SIZES} SELECT doc_id, 0::BIGINT AS n_blank FROM d WHERE n_lines > 0")
+@query(f"WITH {SIZES} SELECT doc_id, len([p FOR p IN generate_series(1, n_pages) IF (doc_id + p) % 3 = 0])::BIGINT AS n_blank FROM d WHERE n_lines > 0")
 def pdf_blank_pages(s, d):
+    """Blank pages of each file, after a path that ends without paint took the place of the instructions of every third page."""
     files = _files(s, d, "plain")
     pages = scan(files, "pages")
-    blank = L.blank_pages(scan(files, "operators"), pages, ["doc_id", "page_no"]).groupBy("doc_id").agg(F.count("*").alias("n"))
+    drawn = scan(files, "operators").withColumn("op", F.when((F.col("doc_id") + F.col("page_no")) % 3 == 0, "n").otherwise(F.col("op")))
+    blank = L.blank_pages(drawn, pages, ["doc_id", "page_no"]).groupBy("doc_id").agg(F.count("*").alias("n"))
     return pages.select("doc_id").distinct().join(blank, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_blank"))
 
 
