@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -141,9 +142,9 @@ def names_to_flags(names: Column) -> Column:
     return F.coalesce(names.try_cast("int"), bits)
 
 
-def privileges(bits: Column) -> Column:
-    """Names of the permissions that are granted."""
-    return F.filter(F.array(*[F.when(bits.cast("long").bitwiseAND(1 << (b - 1)) != 0, n) for n, b in PERMISSIONS.items()]), lambda x: x.isNotNull())
+def privileges(bits: Column, asked: Iterable[str] = tuple(PERMISSIONS)) -> Column:
+    """Names of the permissions that are granted, of those asked for."""
+    return F.filter(F.array(*[F.when(bits.cast("long").bitwiseAND(1 << (PERMISSIONS[n] - 1)) != 0, n) for n in asked]), lambda x: x.isNotNull())
 
 
 def text_width(c: Column, size: Column | float) -> Column:

@@ -4,7 +4,9 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from foliolake.functions import text as T
 from foliolake.queries import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -40,6 +42,15 @@ def test_query(spark, small, db, name):
     assert got == want
 
 
+def test_privileges_of_all_bits(spark, tmp_path):
+    """Ids with bits over the tenth, which sf0.001 and sf0.01 do not have."""
+    spark.range(-2, 5000).selectExpr("id AS doc_id").union(spark.sql("SELECT NULL")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    want = duckdb.sql(ORACLES["privileges"].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'")).fetchall()
+    assert sorted(map(tuple, QUERIES["privileges"](spark, str(tmp_path)).collect()), key=str) == sorted(want, key=str)
+    every = spark.range(1).select(T.privileges(F.lit(-1))).first()[0]
+    assert every == list(T.PERMISSIONS)
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
