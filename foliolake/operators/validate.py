@@ -8,7 +8,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..sources.relations import scan
+from ..sources.relations import scan, scan_all
 
 Relations = Callable[[str], DataFrame]
 #: Action types that no PDF/A profile permits, and those that later ones forbid as well.
@@ -70,13 +70,13 @@ def file_structure(r: Relations, f: Format) -> list[Found]:
 
 
 def graphics(r: Relations, f: Format) -> list[Found]:
-    x, c = r("resources"), r("catalogs").select("doc_id", "output_intents")
+    x = r("resources")
     image, form, state = (F.col("category") == "XObject") & (F.col("subtype") == "Image"), (F.col("category") == "XObject") & (F.col("subtype") == "Form"), F.col("category") == "ExtGState"
     a = F.col("attrs")
     intent = F.coalesce(_has("output_intents", "GTS_PDFA1"), F.lit(False))
-    device = x.where((F.col("category") == "XObject") & a["ColorSpace"].isin("DeviceGray", "DeviceRGB", "DeviceCMYK")).join(c, "doc_id")
+    device = (F.col("category") == "XObject") & a["ColorSpace"].isin("DeviceGray", "DeviceRGB", "DeviceCMYK")
     return [
-        _found(device, ~intent, "6.2.2", F.concat(F.lit("Device color space "), a["ColorSpace"], F.lit(" used without GTS_PDFA1 OutputIntent"))),
+        _found(x, device & ~intent, "6.2.2", F.concat(F.lit("Device color space "), a["ColorSpace"], F.lit(" used without GTS_PDFA1 OutputIntent"))),
         _found(x, (F.col("category") == "XObject") & (F.col("subtype") == "PS"), "6.2.7", "PostScript XObjects (/Subtype=/PS) are not permitted in PDF/A"),
         _found(x, image & _has("keys", "Alternates"), "6.2.4", "Image XObject must not have /Alternates key"),
         _found(x, image & _has("keys", "OPI"), "6.2.4", "Image XObject must not have /OPI key"),
@@ -156,7 +156,7 @@ def actions(r: Relations, f: Format) -> list[Found]:
 def metadata(r: Relations, f: Format) -> list[Found]:
     c, xml = r("catalogs"), F.col("metadata")
     value = lambda key: F.coalesce(F.nullif(F.regexp_extract(xml, rf"pdfaid:{key}\s*=\s*[\"']([^\"']*)[\"']", 1), F.lit("")), F.nullif(F.regexp_extract(xml, rf"<pdfaid:{key}>\s*([^<]*?)\s*</pdfaid:{key}>", 1), F.lit("")))
-    c = c.withColumns({"part": value("part"), "conf": F.trim(value("conformance"))})
+    part, conf = value("part"), F.trim(value("conformance"))
     full = xml.isNotNull() & (F.length(xml) > 0)
     return [
         _found(c, F.size("keys") == 0, "6.7.2", "Cannot load catalog to check metadata"),
@@ -164,11 +164,11 @@ def metadata(r: Relations, f: Format) -> list[Found]:
         _found(c, _has("keys", "Metadata") & xml.isNull(), "6.7.2", "Catalog /Metadata must be a stream object"),
         _found(c, F.col("metadata_filter"), "6.7.2", "Metadata stream must not have /Filter (must be uncompressed)"),
         _found(c, F.length(xml) == 0, "6.7.11", "Metadata stream is empty"),
-        _found(c, full & F.col("part").isNull(), "6.7.11", "XMP metadata must contain pdfaid:part element"),
-        _found(c, full & (F.col("part").try_cast("int") != f.part), "6.7.11", F.concat(F.lit("XMP pdfaid:part is "), F.col("part"), F.lit(f" but expected {f.part} for {f.name}"))),
-        _found(c, full & F.col("part").isNotNull() & F.col("part").try_cast("int").isNull(), "6.7.11", F.concat(F.lit("Could not parse pdfaid:part value: "), F.col("part")), "WARNING"),
-        _found(c, full & F.col("conf").isNull(), "6.7.11", "XMP metadata must contain pdfaid:conformance element"),
-        _found(c, full & (F.upper("conf") != f.level), "6.7.11", F.concat(F.lit("XMP pdfaid:conformance is '"), F.col("conf"), F.lit(f"' but expected '{f.level}' for {f.name}"))),
+        _found(c, full & part.isNull(), "6.7.11", "XMP metadata must contain pdfaid:part element"),
+        _found(c, full & (part.try_cast("int") != f.part), "6.7.11", F.concat(F.lit("XMP pdfaid:part is "), part, F.lit(f" but expected {f.part} for {f.name}"))),
+        _found(c, full & part.isNotNull() & part.try_cast("int").isNull(), "6.7.11", F.concat(F.lit("Could not parse pdfaid:part value: "), part), "WARNING"),
+        _found(c, full & conf.isNull(), "6.7.11", "XMP metadata must contain pdfaid:conformance element"),
+        _found(c, full & (F.upper(conf) != f.level), "6.7.11", F.concat(F.lit("XMP pdfaid:conformance is '"), conf, F.lit(f"' but expected '{f.level}' for {f.name}"))),
     ]
 
 
@@ -228,8 +228,9 @@ RULES = [file_structure, graphics, fonts, transparency, annotations, actions, me
 def validate(files: DataFrame, target: str = "PDF/A-1b", more: list[Callable[[Relations, Format], list[Found]]] = ()) -> DataFrame:
     """Violations of every file (doc_id, content) against a target; `more` are rules of the caller's own.
 
-    Rules over one relation run in one pass over it, each row giving the
-    violations it has; a file is parsed once for each relation.
+    A file is parsed once for all rules over relations as they are, each row
+    giving the violations it has. Rules over rows derived from relations, and the
+    caller's, run in a pass of their own for each set of rows.
     """
     f, have = Format(target), {}
 
@@ -238,16 +239,40 @@ def validate(files: DataFrame, target: str = "PDF/A-1b", more: list[Callable[[Re
             have[name] = scan(files, name)
         return have[name]
 
-    by_rows: dict[int, list[Found]] = {}
-    for rule in ([pdf_x] if f.is_x else RULES) + list(more):
+    together: dict[str, list[Found]] = {}
+    apart: dict[int, list[Found]] = {}
+    for rule in [pdf_x] if f.is_x else RULES:
         for found in rule(relation, f):
-            by_rows.setdefault(id(found.rows), []).append(found)
-    return reduce(DataFrame.unionByName, [_violations(group) for group in by_rows.values()])
+            name = next((n for n, rows in have.items() if rows is found.rows), None)
+            (together.setdefault(name, []) if name else apart.setdefault(id(found.rows), [])).append(found)
+    for rule in more:
+        for found in rule(relation, f):  # their columns may be bound to the relation
+            apart.setdefault(id(found.rows), []).append(found)
+    out = [_violations(group) for group in apart.values()]
+    return reduce(DataFrame.unionByName, ([_violations_together(files, together)] if together else []) + out)
+
+
+def _each(group: list[Found]) -> Column:
+    """What each rule says of a row, null where it is kept."""
+    return F.array(*[F.when(g.test, F.struct(F.lit(g.rule).alias("rule_id"), F.lit(g.severity).alias("severity"), g.message.alias("message"))) for g in group])
+
+
+def _exploded(df: DataFrame, each: Column) -> DataFrame:
+    return df.select("doc_id", F.explode(F.filter(each, lambda v: v.isNotNull())).alias("v")).select("doc_id", "v.*")
 
 
 def _violations(group: list[Found]) -> DataFrame:
-    each = [F.when(g.test, F.struct(F.lit(g.rule).alias("rule_id"), F.lit(g.severity).alias("severity"), g.message.alias("message"))) for g in group]
-    return group[0].rows.select("doc_id", F.explode(F.filter(F.array(*each), lambda v: v.isNotNull())).alias("v")).select("doc_id", "v.*")
+    return _exploded(group[0].rows, _each(group))
+
+
+def _violations_together(files: DataFrame, groups: dict[str, list[Found]]) -> DataFrame:
+    """Groups by relation; their columns are taken by name from the row's own relation."""
+    df = scan_all(files, list(groups)).withColumn("__each", F.lit(None).cast("array<struct<rule_id:string,severity:string,message:string>>"))
+    held = [c for c in df.columns if c != "__each"]
+    for name, group in groups.items():
+        own = df.select(*held, "__each", f"__{name}.*")
+        df = own.select(*held, F.when(F.col("__relation") == name, _each(group)).otherwise(F.col("__each")).alias("__each"))
+    return _exploded(df, F.col("__each"))
 
 
 def compliant(files: DataFrame, violations: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import zlib
 
 import pytest
 
-from foliolake.operators import layout as L, pages as P
+from foliolake.operators import layout as L, pages as P, validate as V
 from foliolake.sources import codecs, fixtures, pdf_core as C, pdf_text as X, pdf_writer as W, relations as R
 
 
@@ -123,3 +123,69 @@ def test_visible_outlines(spark):
     rows = [(1, 1, 1, False), (1, 2, 2, True), (1, 3, 3, True), (1, 4, 1, True), (1, 5, 2, True)]
     items = spark.createDataFrame(rows, "doc_id long, ord long, level long, open boolean")
     assert P.visible_outlines(items, ["doc_id"]).first().visible == 3
+
+
+def _parses(df) -> int:
+    return df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+
+
+def test_a_file_is_parsed_once_for_all_rules(spark):
+    """With a caller's rule, whose columns may be bound to its relation, there is one parse more."""
+    files = spark.createDataFrame([(i, fixtures.rich(i, "a\nb")) for i in range(12)] + [(12, b"broken"), (13, None)], "doc_id long, content binary")
+
+    def links(r, f):
+        x = r("annotations")
+        return [V._found(x, x["subtype"] == "Link", "own", "a link")]
+
+    for target in ("PDF/A-1b", "PDF/A-2u", "PDF/A-3a"):
+        assert _parses(V.validate(files, target)) == 1
+    more = V.validate(files, "PDF/A-1b", [links])
+    assert _parses(more) == 2
+    assert [r.doc_id for r in more.where("rule_id = 'own'").orderBy("doc_id").collect()] == [i for i in range(12) if i % 4 >= 2]
+    assert V.compliant(files, more).where("not compliant").count() == 13
+
+
+def test_device_colours_by_output_intent(spark):
+    """The rule takes the catalog's output intents from the resource's row."""
+
+    def content(i: int, intents: list | None) -> bytes:
+        image = C.Stream({"Type": C.Name("XObject"), "Subtype": C.Name("Image"), "ColorSpace": C.Name("DeviceGray")}, b"")
+        objects, root, trailer = W.document([b"BT ET"], more={20: image}, catalog={} if intents is None else {"OutputIntents": [{"S": C.Name(x)} for x in intents]})
+        objects[2]["Resources"]["XObject"] = {"Im1": C.Ref(20, 0)}
+        return W.full(objects, root, trailer)
+
+    files = spark.createDataFrame([(i, content(i, x)) for i, x in enumerate([None, [], ["GTS_PDFX"], ["GTS_PDFX", "GTS_PDFA1"]])], "doc_id long, content binary")
+    assert sorted(r.doc_id for r in V.validate(files).where("rule_id = '6.2.2'").collect()) == [0, 1, 2]
+
+
+@pytest.mark.parametrize("name,most", [("compliance", 2)])
+def test_queries_write_and_parse_files_once(spark, small, name, most):
+    from foliolake.queries import QUERIES
+
+    assert _parses(QUERIES[name](spark, small)) == most
+
+
+def test_all_relations_of_one_parse(spark):
+    """The same rows as from a parse for each relation, with null ids and texts, damaged files and none."""
+    made = [(i, m(i, "a\n" * (40 * i))) for i, m in enumerate([fixtures.rich, fixtures.plain, fixtures.damaged, fixtures.rich, fixtures.rich, fixtures.rich])] + [(7, b""), (None, None)]
+    files = spark.createDataFrame(made, "doc_id long, content binary")
+    names = [n for n in R.SCHEMAS if n != "errors"]
+    together = R.scan_all(files, names).cache()
+    for n in names:
+        assert sorted(map(str, together.where(f"__relation = '{n}'").select("doc_id", f"__{n}.*").collect())) == sorted(map(str, R.scan(files, n).collect())), n
+    together.unpersist()
+
+
+def test_tokens_of_unusual_forms():
+    got = C.Lexer(b"<</A#20B 1 0 R/C(x\\)(y))/D[1 -2.5 +.5 4. null true>>/E<4142>%c\n 7 0 Robj]/F<</G/H]>>/I 1 2/J>>").value()
+    assert got == {"A B": C.Ref(1, 0), "C": b"x)(y)", "D": [1, -2.5, 0.5, 4.0, None, True, "E", b"AB", 7, 0], "F": {"G": "H"}, "I": 1} and type(got["D"][6]) is C.Name
+
+
+@pytest.mark.parametrize("row", [b"%010d 00000 n \n", b"%010d 00000 n\r\n", b"%d 0 n\n", b"%010d 00000 n\n"])
+def test_rows_of_cross_references(row):
+    head = b"%PDF-1.7\n"
+    body = b"1 0 obj\n<</Type/Catalog/Pages 2 0 R>>\nendobj\n"
+    rows = b"".join([b"0000000000 65535 f \n", row % len(head), row % (len(head) + len(body))])
+    more = b"2 0 obj\n<</Type/Pages/Kids[]/Count 0>>\nendobj\n"
+    f = C.File(head + body + more + b"xref\n0 3\n" + rows + b"trailer\n<</Root 1 0 R>>\nstartxref\n%d\n%%%%EOF" % (len(head) + len(body) + len(more)))
+    assert not f.rebuilt and f.places == {C.Ref(0, -1): (), C.Ref(1, 0): (len(head),), C.Ref(2, 0): (len(head) + len(body),)}
