@@ -263,7 +263,7 @@ def _spread(docs: DataFrame) -> DataFrame:
 
 @query(_SAID)
 def validate_pdf_a(s, d):
-    v = V.validate(_files(s, d), "PDF/A-1b")
+    v = V.validate(to_pdf(_spread(table(s, d, "documents")), "rich"), "PDF/A-1b")
     return v.groupBy("doc_id", "rule_id", "message").agg(F.count("*").alias("n"))
 
 

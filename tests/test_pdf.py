@@ -158,7 +158,7 @@ def test_device_colours_by_output_intent(spark):
     assert sorted(r.doc_id for r in V.validate(files).where("rule_id = '6.2.2'").collect()) == [0, 1, 2]
 
 
-@pytest.mark.parametrize("name,most", [("compliance", 2)])
+@pytest.mark.parametrize("name,most", [("compliance", 2), ("validate_pdf_a", 2)])
 def test_queries_write_and_parse_files_once(spark, small, name, most):
     from foliolake.queries import QUERIES
 
